@@ -13,7 +13,8 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    1. Rows are counted by text length; a length that occurs once is settled.
+    1. Rows are counted by text length; a length that occurs once (and no other equal to it modulo
+       ``buckets``, which bounds the broadcast) is settled.
     2. Among the others, rows are counted by (length, hash of the first prefix_chars characters).
     3. Surviving groups are folded into at most ``buckets`` numbers (so the broadcast is bounded
        whatever the corpus), and only rows whose bucket survives have their whole text hashed, in
@@ -34,8 +35,13 @@ def exact_dedup(
         {"len": F.char_length(text), "prefix": F.xxhash64(ascii_lower(F.substring(text, 1, prefix_chars)))}
     )
     narrow = materialize(base.select("len", "prefix"), "dedup-narrow")
-    lengths = narrow.groupBy("len").count().filter("count > 1").select("len")
-    groups = narrow.join(lengths, "len", "left_semi").groupBy("len", "prefix").count().filter("count > 1")
+    lengths = narrow.groupBy("len").count().filter("count > 1").select(F.pmod("len", F.lit(buckets)).alias("residue")).distinct()
+    groups = (
+        narrow.join(F.broadcast(lengths), F.pmod(narrow["len"], F.lit(buckets)) == lengths["residue"], "left_semi")  # at most `buckets` rows
+        .groupBy("len", "prefix")
+        .count()
+        .filter("count > 1")
+    )
     bucket = F.pmod(F.xxhash64("len", "prefix"), F.lit(buckets)).cast("int")
     surviving = groups.select(bucket.alias("bucket")).distinct().withColumn("hit", F.lit(True))
 
