@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, quality, token_counts
+from . import exact_dedup, language_id, mixing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1,
     "op2_quality": quality.op2,
     "op3_token_counts": token_counts.op3,
     "op4_language_id": language_id.op4,
+    "op6_mixing": mixing.op6,
 }
 
 ORACLES: dict[str, str] = {
