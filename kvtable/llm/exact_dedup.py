@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table, text_or_empty
+from .common import ascii_lower, materialize, table
 
 
 def exact_dedup(

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, token_counts
+from . import decontaminate, exact_dedup, language_id, licenses, line_dedup, mixing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1,
     "op2_quality": quality.op2,
     "op3_token_counts": token_counts.op3,
     "op4_language_id": language_id.op4,
+    "op5_licenses": licenses.op5,
     "op6_mixing": mixing.op6,
     "op8_line_dedup": line_dedup.op8,
     "op10_decontaminate": decontaminate.op10,
