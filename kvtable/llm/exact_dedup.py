@@ -54,7 +54,7 @@ def exact_dedup(
     rows = materialize(rows, "dedup-rows")
     keys = ["len", "prefix", "text_sha256"]
     found = rows.filter("hit").groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = found.filter("group_size > 1")
+    found = materialize(found.filter("group_size > 1"), "dedup-groups")  # so the join's two sides are dealt for it alone
     copies = rows.filter("hit").join(found, keys, "left")
     alone = rows.filter("not hit").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
     return copies.unionByName(alone.select(*copies.columns)).select(

@@ -121,6 +121,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(narrow.mapInArrow(suspects, schema), "line-chunks")
     place = F.struct("doc_id", *keys, "at")
     groups = found.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    groups = materialize(groups, "line-groups")  # so the join's two sides are dealt for it alone
     same = (found["hash"] == groups["hash"]) & (found["chunk"] == groups["chunk"])
     removed = found.join(groups, same).filter(place != F.col("first")).select(*keys, "at", "words")
     removed = removed.groupBy(*keys).agg(F.collect_set(F.struct("at", "words")).alias("gone"))
