@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, licenses, line_dedup, mixing, quality, token_counts
+from . import decontaminate, exact_dedup, language_id, licenses, line_dedup, mixing, pii, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licenses": licenses.op5,
     "op6_mixing": mixing.op6,
     "op8_line_dedup": line_dedup.op8,
+    "op9_pii": pii.op9,
     "op10_decontaminate": decontaminate.op10,
 }
 
