@@ -20,31 +20,49 @@ def count_words(text: Column) -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
-def permuted(index: Column, n: Column, *key: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1, chosen by the key, at one index: a Feistel network over a grid of at least n cells.
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    Both rounds' halves are added to modulo the grid's sides, so the network permutes the cells;
-    a cell from n on is sent through again until it falls below n (cycle walking). The grid has
-    fewer than sqrt(n) + 1 spare cells, so a walk ends after a step or two; 40 are allowed, which is
-    a bound for n up to 1,500 and beyond that is exceeded with a probability under 1e-60.
+
+def permuted(df: DataFrame, out: str, index: Column, n: Column, *key: Column) -> DataFrame:
+    """Adds a column: a pseudorandom permutation of 0..n-1, chosen by the key, at one index.
+
+    A Feistel network over a grid of at least n cells: each half in turn is shifted, modulo its
+    side, by a hash of the other, so the network permutes the cells. A cell from n on is sent
+    through again until it falls below n (cycle walking). The grid has fewer than sqrt(n) + 1 spare
+    cells, so few indexes walk at all; 40 steps are allowed, which is a bound for n up to 1,500 and
+    beyond that is exceeded with a probability under 1e-60.
+
+    The first pass is a chain of plain columns; only walks use higher-order functions.
     """
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    b = F.ceil(n / a).cast("long")
+    rounds = range(4)
+    shift = lambda i, half: F.xxhash64(*key, F.lit(i), half)
+    names = [f"__{x}" for x in ("n", "a", "b", "left", "right", "cell")]
+    n_, a, b, left, right, cell = map(F.col, names)
+    df = df.withColumn("__n", n)
+    df = df.withColumn("__a", F.greatest(F.ceil(F.sqrt(n_.cast("double"))).cast("long"), F.lit(1)))
+    df = df.withColumn("__b", F.greatest(F.ceil(n_ / a).cast("long"), F.lit(1)))
+    df = df.withColumns({"__left": F.floor(index / b).cast("long"), "__right": F.pmod(index, b)})
+    for i in rounds:
+        df = df.withColumn("__left", F.pmod(left + F.pmod(shift(2 * i, right), a), a))
+        df = df.withColumn("__right", F.pmod(right + F.pmod(shift(2 * i + 1, left), b), b))
+    df = df.withColumn("__cell", left * b + right)
+
+    def round_(i: int):
+        # A factory, as a second parameter of a lambda would be taken for the array index.
+        return lambda s: let(
+            F.pmod(s["l"] + F.pmod(shift(2 * i, s["r"]), a), a), lambda q: F.struct(q.alias("l"), F.pmod(s["r"] + F.pmod(shift(2 * i + 1, q), b), b).alias("r"))
+        )
 
     def through(x: Column) -> Column:
-        left, right = F.floor(x / b).cast("long"), F.pmod(x, b)
-        for i in range(4):
-            left = F.pmod(left + F.pmod(F.xxhash64(*key, F.lit(2 * i), right), a), a)
-            right = F.pmod(right + F.pmod(F.xxhash64(*key, F.lit(2 * i + 1), left), b), b)
-        return left * b + right
-
-    step = F.struct(index.cast("long").alias("x"), F.lit(False).alias("done"))
-    ended = F.aggregate(
-        F.array_repeat(F.lit(0), 40),
-        step,
-        lambda s, _: F.when(s["done"], s).otherwise(F.transform(F.array(through(s["x"])), lambda y: F.struct(y.alias("x"), (y < n).alias("done")))[0]),
-    )
-    return ended["x"]
+        step = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, b).alias("r"))
+        for i in rounds:
+            step = let(step, round_(i))
+        return let(step, lambda s: s["l"] * b + s["r"])
+
+    walk = F.aggregate(F.array_repeat(F.lit(0), 40), cell, lambda x, _: F.when(x < n_, x).otherwise(through(x)))
+    return df.withColumn(out, F.when(cell < n_, cell).otherwise(walk)).drop(*names)
 
 
 @dataclass
@@ -134,16 +152,17 @@ def mix(
 
     # Slots of the mix, made in runs so that a large source's slots are made by many tasks.
     runs = sources.filter("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots))).alias("run"))
-    runs = runs.repartition("sid", "run")
+    runs = runs.repartition(max(1, min(1 << 14, sum(p[6] for p in plan) // (8 * shard_slots))), "sid", "run")  # a number: rows this small would all be put in one task
     first = F.col("run") * shard_slots
     slots = runs.select("*", F.explode(F.sequence(first, F.least(F.col("slots"), first + shard_slots) - 1)).alias("slot"))
     slots = slots.withColumns({"epoch": F.floor(F.col("slot") / F.col("blocks")), "index": F.pmod("slot", F.col("blocks"))})
     whole = F.col("blocks") - 1
+    slots = permuted(slots, "mixed", F.least(F.col("index"), F.greatest(whole - 1, F.lit(0))), whole, F.lit(seed), F.col("sid"), F.col("epoch"))
     slots = slots.select(
         "sid",
         "slot",
         F.pmod(F.xxhash64(F.lit(seed), "sid", "slot"), F.lit(max(1, sum(p[6] for p in plan) // shard_slots))).alias("shard"),
-        F.when(F.col("index") == whole, whole).otherwise(permuted(F.col("index"), whole, F.lit(seed), F.col("sid"), F.col("epoch"))).alias("block"),
+        F.when(F.col("index") == whole, whole).otherwise(F.col("mixed")).alias("block"),
         F.when((F.col("epoch") == F.col("epochs")) & (F.col("index") == F.floor(F.col("rest") / block_words)), F.pmod("rest", F.lit(block_words))).alias("part"),
     )
 
