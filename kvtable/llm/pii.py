@@ -28,41 +28,43 @@ def keyed(key: str, kind: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), *(p.cast("string") for p in parts)), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(x: Column, a: Column, b: Column, key: str, kind: str, rounds: int = 4) -> Column:
-    """Permutes 0 .. a*b-1: each half in turn is shifted, modulo its size, by a keyed hash of the other."""
-    left, right = F.floor(x / b).cast("long"), F.pmod(x, b)
-    for i in range(rounds):
-        left = F.pmod(left + F.pmod(keyed(key, f"{kind}{2 * i}", right), a), a)
-        right = F.pmod(right + F.pmod(keyed(key, f"{kind}{2 * i + 1}", left), b), b)
-    return left * b + right
-
-
 def once(value: Column, use) -> Column:
     """use(value), with the value computed a single time."""
     return F.transform(F.array(value), use)[0]
 
 
+def network(halves: Column, a: Column, b: Column, key: str, kind: str, rounds: int = 4) -> Column:
+    """A Feistel network over pairs (l below a, r below b): each half in turn is shifted, modulo its size, by a keyed hash of the other."""
+
+    def round_(i: int):
+        # A factory, as a second parameter of a lambda would be taken for the array index.
+        return lambda s: once(
+            F.pmod(s["l"] + F.pmod(keyed(key, f"{kind}{2 * i}", a, b, s["r"]), a), a),
+            lambda left: F.struct(left.alias("l"), F.pmod(s["r"] + F.pmod(keyed(key, f"{kind}{2 * i + 1}", a, b, left), b), b).alias("r")),
+        )
+
+    for i in range(rounds):
+        halves = once(halves, round_(i))
+    return halves
+
+
+def feistel(x: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+    """Permutes 0 .. a*b-1."""
+    halves = F.struct(F.floor(x / b).cast("long").alias("l"), F.pmod(x, b).alias("r"))
+    return once(network(halves, a, b, key, kind), lambda s: s["l"] * b + s["r"])
+
+
 def power(n: Column) -> Column:
     return F.round(F.pow(F.lit(10.0), n)).cast("long")
 
 
 def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """Another string of as many digits (1 to 18); one value for one value."""
-    n = F.length(digits)
-    high = F.floor((n + 1) / 2)
-    return feistel_split(digits, high, n - high, key, kind)
-
-
-def feistel_split(digits: Column, high: Column, low: Column, key: str, kind: str, rounds: int = 4) -> Column:
-    """The network on the two halves of a string of digits."""
-    halves = F.struct(F.substr(digits, F.lit(1), high).cast("long").alias("l"), F.coalesce(F.substr(digits, high + 1, low).cast("long"), F.lit(0).cast("long")).alias("r"))
-    for i in range(rounds):
-        step = lambda s, i=i: once(
-            F.pmod(s["l"] + keyed(key, f"{kind}{2 * i}", high + low, s["r"]), power(high)),
-            lambda left: F.struct(left.alias("l"), F.pmod(s["r"] + keyed(key, f"{kind}{2 * i + 1}", high + low, left), power(low)).alias("r")),
-        )
-        halves = once(halves, step)
-    return once(halves, lambda s: F.concat(F.lpad(s["l"].cast("string"), high, "0"), F.when(low > 0, F.lpad(s["r"].cast("string"), low, "0")).otherwise(F.lit(""))))
+    high = F.floor((F.length(digits) + 1) / 2).cast("int")
+    low = F.length(digits) - high
+    halves = F.struct(F.substr(digits, F.lit(1), high).cast("long").alias("l"), F.when(low > 0, F.substr(digits, high + 1, low).cast("long")).otherwise(F.lit(0).cast("long")).alias("r"))
+    moved = network(halves, power(high), power(low), key, kind)
+    return once(moved, lambda s: F.concat(F.lpad(s["l"].cast("string"), high, "0"), F.when(low > 0, F.lpad(s["r"].cast("string"), low, "0")).otherwise(F.lit(""))))
 
 
 def characters(text: Column) -> Column:
