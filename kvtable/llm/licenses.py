@@ -65,8 +65,8 @@ def scan(
     """One row per row of docs: doc_id, n_words, found: array of (label, start, n_words, is_base, score), sorted.
 
     The license vocabulary's document frequencies are counted over all documents (an aggregate of
-    one row a word). Each template is indexed under its rarest word, the one with the highest IDF;
-    a file's highest-IDF license words are looked up in that index, each posting gives the place
+    one row a word). Each template is indexed under the rarest word of its key phrase, the one with the
+    highest IDF (other words may be missing); a file's highest-IDF license words are looked up in that index, each posting gives the place
     where the template would start, and the template's other words are intersected at their relative
     positions. A place counts if the whole key phrase stands there and at least ``share`` of all
     the template's words; base phrases are templates that are key phrase throughout. Two scans of
@@ -86,7 +86,7 @@ def scan(
 
     entries, by_word = [], {}
     for label, words, key, is_base in rows:
-        at = min(range(len(words)), key=lambda i, words=words: (df.get(words[i], 0), i))
+        at = min(key, key=lambda i, words=words: (df.get(words[i], 0), i))
         need = max(len(key), -(-len(words) * share // 1))
         by_word.setdefault(words[at], []).append((len(entries), at))
         entries.append(F.struct(F.lit(label).alias("label"), literal(words).alias("words"), F.array(*map(F.lit, key)).alias("key"), F.lit(int(need)).alias("need"), F.lit(is_base).alias("is_base")))

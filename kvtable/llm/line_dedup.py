@@ -31,8 +31,9 @@ class Chunker:
     def cut(self, lines: list[bytes]) -> list[tuple[int, int, int]]:
         """(first line, line after the last, words) of each chunk.
 
-        Boundaries depend only on the lines next to them, so an insertion shifts none but those
-        beside it. A line of long_words words is a chunk of its own."""
+        A boundary depends on the lines just before it, and on whether the chunk has few_words words
+        yet, so an insertion shifts only the boundaries that follow closely. A line of long_words
+        words is a chunk of its own."""
         words = [len(x.split()) for x in lines]
         out = []
         first = total = before = 0
@@ -42,7 +43,8 @@ class Chunker:
             before = h
             total += words[i]
             long_next = i + 1 < len(lines) and words[i + 1] >= self.long_words
-            if words[i] >= self.long_words or long_next or (rolling >> 32) % DIVISOR == 0 or i + 1 == len(lines):
+            here = total >= self.few_words and (rolling >> 32) % DIVISOR == 0
+            if here or words[i] >= self.long_words or long_next or i + 1 == len(lines):
                 out.append((first, i + 1, total))
                 first, total = i + 1, 0
         return out

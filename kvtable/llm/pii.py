@@ -18,7 +18,8 @@ CARD = r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 #: Two numbers side by side read as one long one; groups of digits without separators are tried by themselves.
 PLAIN_CARD = r"(?<!\d)\d{13,19}(?!\d)"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-PATTERN = "|".join([EMAIL, SECRET, IBAN, DATE, IP, SSN, PLAIN_CARD, CARD, PHONE])
+GROUPED_CARD = r"(?<!\d)(?<!\d-)\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?![\d]|-\d)"
+PATTERN = "|".join([EMAIL, SECRET, IBAN, DATE, IP, SSN, PLAIN_CARD, GROUPED_CARD, CARD, PHONE])
 #: Days from 1900-01-01 to 2099-12-31; 17 x 4297.
 DAYS = 73_049
 

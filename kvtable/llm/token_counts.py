@@ -236,7 +236,7 @@ def token_counts(
     source = source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     if prefixes:
-        schema = schema.add("fit_chars", "long").add("prefix_tokens", "array<int>")
+        schema = schema.add("fit_chars", T.LongType()).add("prefix_tokens", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
