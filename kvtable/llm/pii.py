@@ -9,7 +9,12 @@ from .common import table
 
 #: Patterns of what may be personal data; each find is validated before it is replaced.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9_+/-]{16,}[\"']?)"
+#: Marks and spaces that may stand between the words of one find, as in lists and tables.
+BETWEEN = r"[^\w(=:+]{0,5}"
+SECRET = (
+    r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)" + BETWEEN + r"[=:]" + BETWEEN + r"[A-Za-z0-9_+/-]{16,}[\"']?)"
+    r"|\"[0-9A-Fa-f]{32,64}\""
+)
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![\d.-])(?:19|20)\d\d-\d\d-\d\d(?![\d-])|(?<![\d./])\d\d/\d\d/(?:19|20)\d\d(?![\d/])"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)"
@@ -17,7 +22,7 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
 #: Two numbers side by side read as one long one; groups of digits without separators are tried by themselves.
 PLAIN_CARD = r"(?<!\d)\d{13,19}(?!\d)"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+PHONE = r"(?<![\d+])(?:\+\d{1,3}" + BETWEEN + r")?\(\d{2,4}\)" + BETWEEN + r"\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 GROUPED_CARD = r"(?<!\d)(?<!\d-)\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?![\d]|-\d)"
 PATTERN = "|".join([EMAIL, SECRET, IBAN, DATE, IP, SSN, PLAIN_CARD, GROUPED_CARD, CARD, PHONE])
 #: Days from 1900-01-01 to 2099-12-31; 17 x 4297.
@@ -144,11 +149,11 @@ def pseudonym(m: Column, key: str) -> Column:
 
     local = F.substring_index(m, "@", 1)
     email = F.concat(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(local), F.lower(F.substring_index(m, "@", -1))), 256), 1, 12), F.lit("@mail.invalid"))
-    value = F.regexp_extract(m, "[=:]\\s*[\"']?([A-Za-z0-9_+/-]{16,})[\"']?$", 1)
+    value = F.regexp_extract(m, f"(?:[=:]{BETWEEN}|^\")([A-Za-z0-9_+/-]{{16,}})[\"']?$", 1)
     hashed = F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"secret{i}"), value), 256) for i in range(4)))
     secret = F.replace(m, value, F.substr(hashed, F.lit(1), F.least(F.length(value), F.lit(256))))
 
-    kept = F.regexp_extract(m, r"^(\+\d{1,3})[ .-]?\(", 1)
+    kept = F.regexp_extract(m, r"^(\+\d{1,3})" + BETWEEN + r"\(", 1)
     own = F.substr(digits, F.greatest(F.length(kept), F.lit(1)))
     phone = F.concat(kept, refill(F.substr(m, F.length(kept) + 1), permuted_digits(own, key, "phone")))
 
