@@ -136,21 +136,20 @@ def mix(
         blocks = -(-size // block_words)
         epochs, rest = divmod(words, size) if size else (0, 0)
         plan.append((sid, r["source"], size, aim, words, blocks, epochs * blocks + -(-rest // block_words), epochs, rest))
-    sources = F.broadcast(
-        spark.createDataFrame(plan, "sid int, source string, source_size long, target double, words long, blocks long, slots long, epochs long, rest long")
-    )
+    sources = spark.createDataFrame(plan, "sid int, source string, source_size long, target double, words long, blocks long, slots long, epochs long, rest long")
 
     # Places of the documents within their sources.
     buckets = max(1, min(1 << 16, sum(r["rows"] for r in found) // 2000))
     rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
-    rows = rows.join(sources.select("sid", F.col("source").alias("name")), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    rows = rows.join(F.broadcast(sources.select("sid", F.col("source").alias("name"))), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["sid", "bucket"])
     placed = placed.select("doc_id", "sid", "size", (F.col("base") + F.col("inside")).alias("start"))
 
-    # Slots of the mix, made in runs so that a large source's slots are made by many tasks.
+    # Slots of the mix, made in runs so that a large source's slots are made by many tasks. The
+    # sources carry no broadcast hint here, as what is derived from them would inherit it.
     runs = sources.filter("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / shard_slots))).alias("run"))
     runs = runs.repartition(max(1, min(1 << 14, sum(p[6] for p in plan) // (8 * shard_slots))), "sid", "run")  # a number: rows this small would all be put in one task
     first = F.col("run") * shard_slots
@@ -176,7 +175,7 @@ def mix(
     words = F.coalesce(F.col("n") * F.col("times") + part, F.lit(0))
     taken = pieces.join(used, ["sid", "block"], "left").groupBy("doc_id", "sid", "size", "start").agg(F.sum(words).alias("taken"))
     nothing = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    taken = taken.unionByName(nothing).join(sources, "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
+    taken = taken.unionByName(nothing).join(F.broadcast(sources), "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
     return Mix(sources, placed, slots, taken)
 
 
