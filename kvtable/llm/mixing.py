@@ -173,7 +173,8 @@ def mix(
     pieces = pieces.withColumns({"left": left, "n": F.least(end - F.col("block") * block_words, F.lit(block_words)) - left})
     part = F.greatest(F.least(F.col("part") - F.col("left"), F.col("n")), F.lit(0))
     words = F.coalesce(F.col("n") * F.col("times") + part, F.lit(0))
-    taken = pieces.join(used, ["sid", "block"], "left").groupBy("doc_id", "sid", "size", "start").agg(F.sum(words).alias("taken"))
+    # The estimate of the used blocks' size comes from the few rows of the sources, so the join must be told not to broadcast them.
+    taken = pieces.join(used.hint("merge"), ["sid", "block"], "left").groupBy("doc_id", "sid", "size", "start").agg(F.sum(words).alias("taken"))
     nothing = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     taken = taken.unionByName(nothing).join(F.broadcast(sources), "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
     return Mix(sources, placed, slots, taken)
