@@ -21,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated chunks of lines. A document of which nothing is left was a copy, and goes."""
-    done = line_dedup.line_dedup(docs.select(*COLUMNS)).filter("n_removed = 0 OR text != ''")
+    """Removes repeated passages of lines. A document of which nothing is left was a copy, and goes."""
+    done = line_dedup.line_dedup(docs.select(*COLUMNS), passages=True).filter("n_removed = 0 OR text != ''")
     changed = F.col("n_removed") > 0
     n_chars = F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars"))
     return done.select("doc_id", "text", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), n_chars.alias("n_chars"))

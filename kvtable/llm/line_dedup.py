@@ -53,30 +53,85 @@ class Chunker:
         first, end, words = chunk
         return words >= self.long_words or (end - first > 1 and words >= self.few_words)
 
+    def units(self, lines: list[bytes]) -> list[tuple[int, int, int]]:
+        """What may be removed: (first line, line after the last, words)."""
+        return [c for c in self.cut(lines) if self.counts(c)]
+
+
+class Passages(Chunker):
+    """Chunks are lines of long_words words and the runs of shorter lines between them, so a boundary depends on its two lines alone.
+
+    What may be removed are the long lines and, within each run, all passages of two lines or more
+    with few_words words that are the shortest from their first line on or up to their last line.
+    They depend on nothing outside themselves, and every line of any longer passage of the run lies
+    in one of them, so a repeated passage is found whole wherever it stands."""
+
+    def cut(self, lines: list[bytes]) -> list[tuple[int, int, int]]:
+        words = [len(x.split()) for x in lines]
+        out = []
+        first = total = 0
+        for i, n in enumerate(words):
+            total += n
+            if i + 1 == len(lines) or n >= self.long_words or words[i + 1] >= self.long_words:
+                out.append((first, i + 1, total))
+                first, total = i + 1, 0
+        return out
+
+    def units(self, lines: list[bytes]) -> list[tuple[int, int, int]]:
+        out = []
+        for first, end, total in self.cut(lines):
+            if end - first == 1:
+                if total >= self.long_words:
+                    out.append((first, end, total))
+            elif total >= self.few_words:
+                sums = [0]
+                for line in lines[first:end]:
+                    sums.append(sums[-1] + len(line.split()))
+                n, found = end - first, set()
+                j = 2
+                for i in range(n - 1):  # the shortest from line i on
+                    j = max(j, i + 2)
+                    while j < n and sums[j] - sums[i] < self.few_words:
+                        j += 1
+                    if sums[j] - sums[i] < self.few_words:
+                        break
+                    found.add((i, j))
+                i = 0
+                for j in range(2, n + 1):  # the shortest up to line j
+                    while i + 2 < j and sums[j] - sums[i + 1] >= self.few_words:
+                        i += 1
+                    if sums[j] - sums[i] >= self.few_words:
+                        found.add((i, j))
+                out += [(first + i, first + j, sums[j] - sums[i]) for i, j in sorted(found)]
+        return out
+
 
 def _hash(chunk: bytes) -> int:
     h = xxhash.xxh3_64_intdigest(chunk)
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = 25, few_words: int = 10) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = 25, few_words: int = 10, passages: bool = False) -> DataFrame:
     """One row per row of docs: row (the whole input row), doc_id, text (what is left), n_chunks, n_removed, words_removed.
 
     1. Texts are cut into content-defined chunks of lines; chunks that count are counted by a
-       64-bit hash over the whole corpus, with partial aggregates.
+       64-bit hash over the whole corpus, with partial aggregates. With passages, all short passages
+       of the text stand in place of chunks (see Passages), and a line goes if it lies in one that
+       occurs earlier; every line that goes has an equal one that stays.
     2. Hashes that occur again are folded into at most BUCKETS numbers, sent to the tasks as bits.
        Only chunks that these do not rule out are written with their bytes.
     3. Chunks are grouped by hash and bytes (the byte comparison). The first occurrence, by id and
        place, stays; all others are removed. The chunks are matched with their group by an
        equi-join, which adaptive execution splits where one chunk is very frequent.
-    4. Texts meet the list of their removed chunks and are put together without them.
+    4. Texts meet the list of their removed chunks and are put together without their lines;
+       n_removed counts the chunks that lose lines.
 
     Null text stays null and is never a copy; empty text stays empty. Lines are what '\\n' separates;
     chunks compare by bytes. Rows that repeat an id and a text are the same document, so both keep
     what one keeps. Null ids come first. Very long texts are cut like any other. Extra columns are
     kept inside row, whatever their names.
     """
-    chunker = Chunker(long_words, few_words)
+    chunker = (Passages if passages else Chunker)(long_words, few_words)
     text = F.col(text_col).cast("string")
     base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key1"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("key2"), text.cast("binary").alias("text"))
     keys = ["key1", "key2"]
@@ -87,7 +142,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for value in batch.column("text"):
                 if raw := value.as_py():
                     lines = raw.split(b"\n")
-                    found += [_hash(b"\n".join(lines[c[0] : c[1]])) for c in chunker.cut(lines) if chunker.counts(c)]
+                    found += [_hash(b"\n".join(lines[c[0] : c[1]])) for c in chunker.units(lines)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["hash"])
 
     hashes = base.select("text").mapInArrow(count_chunks, "hash long")
@@ -97,65 +152,61 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = np.packbits(bits)
 
     narrow = base.select("doc_id", *keys, "text")
-    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("at", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("chunk", T.BinaryType())])
+    schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("at", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("chunk", T.BinaryType())])
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            rows, at, words, hashes, chunks = [], [], [], [], []
+            rows, at, ends, hashes, chunks = [], [], [], [], []
             for i, value in enumerate(batch.column("text")):
                 if raw := value.as_py():
                     lines = raw.split(b"\n")
-                    for n, c in enumerate(chunker.cut(lines)):
-                        if chunker.counts(c):
-                            chunk = b"\n".join(lines[c[0] : c[1]])
-                            h = _hash(chunk)
-                            if bits[h % BUCKETS]:
-                                rows.append(i)
-                                at.append(n)
-                                words.append(c[2])
-                                hashes.append(h)
-                                chunks.append(chunk)
+                    for first, end, _ in chunker.units(lines):
+                        chunk = b"\n".join(lines[first:end])
+                        h = _hash(chunk)
+                        if bits[h % BUCKETS]:
+                            rows.append(i)
+                            at.append(first)
+                            ends.append(end)
+                            hashes.append(h)
+                            chunks.append(chunk)
             take = pa.array(rows, pa.int64())
             kept = [batch.column(i).take(take) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.int32()), pa.array(words, pa.int32()), pa.array(hashes, pa.int64()), pa.array(chunks, pa.binary())], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(at, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes, pa.int64()), pa.array(chunks, pa.binary())], schema.fieldNames())
 
     found = materialize(narrow.mapInArrow(suspects, schema), "line-chunks")
     place = F.struct("doc_id", *keys, "at")
     groups = found.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     groups = materialize(groups, "line-groups")  # so the join's two sides are dealt for it alone
     same = (found["hash"] == groups["hash"]) & (found["chunk"] == groups["chunk"])
-    removed = found.join(groups, same).filter(place != F.col("first")).select(*keys, "at", "words")
-    removed = removed.groupBy(*keys).agg(F.collect_set(F.struct("at", "words")).alias("gone"))
-    removed = removed.select(*keys, F.col("gone.at").alias("gone"), F.aggregate("gone.words", F.lit(0).cast("long"), lambda s, x: s + x).alias("words_removed"))
+    removed = found.join(groups, same).filter(place != F.col("first")).select(*keys, "at", "end")
+    removed = removed.groupBy(*keys).agg(F.collect_set(F.struct("at", "end")).alias("gone"))
+    removed = removed.select(*keys, F.col("gone.at").alias("at"), F.col("gone.end").alias("end"))
 
-    joined = base.join(removed, keys, "left").select("row", "doc_id", "words_removed", "gone", "text")
-    out = T.StructType([*joined.schema.fields[:3], T.StructField("text", T.StringType()), T.StructField("n_chunks", T.LongType()), T.StructField("n_removed", T.LongType())])
+    joined = base.join(removed, keys, "left").select("row", "doc_id", "at", "end", "text")
+    out = T.StructType([*joined.schema.fields[:2], T.StructField("text", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("n_chunks", "n_removed", "words_removed"))])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_chunks, n_removed = [], [], []
-            for value, gone in zip(batch.column("text"), batch.column("gone").to_pylist(), strict=True):
+            texts, n_chunks, n_removed, words_removed = [], [], [], []
+            for value, at, end in zip(batch.column("text"), batch.column("at").to_pylist(), batch.column("end").to_pylist(), strict=True):
                 raw = value.as_py()
-                if not raw:
-                    texts.append(raw)
-                    n_chunks.append(0)
-                    n_removed.append(0)
-                    continue
-                lines = raw.split(b"\n")
+                lines = raw.split(b"\n") if raw else []
                 cut = chunker.cut(lines)
-                n_chunks.append(len(cut))
-                n_removed.append(len(gone or ()))
-                if gone:
-                    drop = set(gone)
-                    raw = b"\n".join(x for n, (first, end, _) in enumerate(cut) if n not in drop for x in lines[first:end])
+                drop = {i for a, b in zip(at or (), end or (), strict=True) for i in range(a, b)}
+                if drop:
+                    raw = b"\n".join(x for i, x in enumerate(lines) if i not in drop)
                 texts.append(raw)
+                n_chunks.append(len(cut))
+                n_removed.append(sum(not drop.isdisjoint(range(c[0], c[1])) for c in cut) if drop else 0)
+                words_removed.append(sum(len(lines[i].split()) for i in drop))
             strings = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), strings, pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64())], out.fieldNames())
+            counts = [pa.array(x, pa.int64()) for x in (n_chunks, n_removed, words_removed)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), strings, *counts], out.fieldNames())
 
-    return joined.mapInArrow(rebuild, out).withColumn("words_removed", F.coalesce("words_removed", F.lit(0).cast("long")))
+    return joined.mapInArrow(rebuild, out)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(docs).select("doc_id", "text", "n_chunks", "n_removed", "words_removed")
+    return line_dedup(docs, passages=True).select("doc_id", "text", "n_chunks", "n_removed", "words_removed")

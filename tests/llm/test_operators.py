@@ -398,6 +398,27 @@ def test_line_dedup_against_counting(docs, texts):
     assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()} == expected
 
 
+def test_line_dedup_finds_passages_of_middling_lines_whole(spark, odd):
+    rng = random.Random(8)
+    line = lambda k: " ".join(f"v{rng.randrange(10**6)}" for _ in range(k))
+    rows, kept = [], {}
+    for case, (lines, k) in enumerate([(3, 20), (4, 15), (5, 12), (20, 12), (12, 7), (30, 2)] * 4):
+        passage = [line(k) for _ in range(lines)]
+        for copy in range(3):
+            before, after = [line(rng.randrange(1, 24)) for _ in range(3)], [line(rng.randrange(1, 24)) for _ in range(3)]
+            i = case * 3 + copy
+            rows.append((i, "\n".join([*before, *passage, *after])))
+            kept[i] = "\n".join([*before, *(passage if copy == 0 else []), *after])
+    rows += [(1000, "\n".join(["a line of twelve words that comes again and again and again"] * 9)), (1001, f"{line(12)}\nthe same line by itself is no passage at all")]
+    rows += [(1002, f"{line(12)}\nthe same line by itself is no passage at all")]
+    kept |= {1000: "a line of twelve words that comes again and again and again", 1001: rows[-2][1], 1002: rows[-1][1]}
+    found = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), passages=True).collect()}
+    assert {i: r["text"] for i, r in found.items()} == kept
+    assert all(r["words_removed"] == len(dict(rows)[i].split()) - len(r["text"].split()) and (r["n_removed"] > 0) == (r["words_removed"] > 0) for i, r in found.items())
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.line_dedup(odd, passages=True).collect())
+    assert got == Counter((r[0], r[1]) for r in ODD)
+
+
 # Personal data
 
 
