@@ -14,10 +14,19 @@ WEIGHTS = (3, 1, 2)
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def words_of(text: Column) -> Column:
+    """The maximal runs of characters other than space and U+0009 to U+000D, for a text that has one."""
+    return F.split(F.btrim(text, F.lit(SPACES)), r"[\x20\x09-\x0D]+")
+
+
 def count_words(text: Column) -> Column:
-    """Number of maximal runs of characters other than space and U+0009 to U+000D; 0 for null."""
-    trimmed = F.btrim(text, F.lit(SPACES))
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+    """Number of words; 0 for null."""
+    return F.when(F.coalesce(F.btrim(text, F.lit(SPACES)), F.lit("")) == "", F.lit(0)).otherwise(F.size(words_of(text))).cast("long")
+
+
+def count_joined(text: Column) -> Column:
+    """Number of words that stand in a text with one space between each two."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
 
 def let(value: Column, use) -> Column:
@@ -69,11 +78,16 @@ def permuted(df: DataFrame, out: str, index: Column, n: Column, *key: Column) ->
 class Mix:
     """sources: source, sid, source_size, target, words, blocks, slots. placed: one row a document. slots: one row a slot of the mix.
 
-    taken: one row a document, with the number of its words that the mix takes."""
+    mixed: the mix itself, one row a slot: shard, sid, source, slot, block, text (the block's words, one space between
+    each two) and pieces (left, start, text), the parts of the text by the place of the document that they come from.
+    Write it with partitionBy("shard") for one folder a shard.
+
+    taken: one row a document, with the number of its words that stand in mixed."""
 
     sources: DataFrame
     placed: DataFrame
     slots: DataFrame
+    mixed: DataFrame
     taken: DataFrame
 
 
@@ -117,15 +131,17 @@ def mix(
       the short block ends the epoch, and the last slot takes only the words still missing, so that
       each source's words are its target to within one word.
     * Every slot draws an output shard uniformly by hash: given the totals, the source counts of
-      the shards are multinomial draws. Slots and blocks are then joined by block index.
+      the shards are multinomial draws. Slots and blocks are then joined by block index: every
+      slot gets the words of its block, and what a document gives is counted in these texts.
 
     Only the sources' sizes (one row a source) pass through the driver. Null sources are a source of
     their own, last in order; documents of no words are taken 0 times; repeated rows each count;
     other columns are ignored; an empty table gives empty results. Reruns agree.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col).cast("string")).alias("size"))
-    sized = materialize(sized, "mix-sizes")
+    text = F.col(text_col).cast("string")
+    whole_docs = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(text).alias("size"), text.alias("text"))
+    sized = materialize(whole_docs.drop("text"), "mix-sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # one row a source
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     aims = targets([r["n"] for r in found], share, most, [weights[i % len(weights)] for i in range(len(found))])
@@ -140,13 +156,22 @@ def mix(
 
     # Places of the documents within their sources.
     buckets = max(1, min(1 << 16, sum(r["rows"] for r in found) // 2000))
-    rows = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
-    rows = rows.join(F.broadcast(sources.select("sid", F.col("source").alias("name"))), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    names = F.broadcast(sources.select("sid", F.col("source").alias("name")))
+
+    def dealt(docs: DataFrame) -> DataFrame:
+        rows = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
+        return rows.join(names, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["sid", "bucket"])
-    placed = placed.select("doc_id", "sid", "size", (F.col("base") + F.col("inside")).alias("start"))
+    bases = dealt(sized).groupBy("sid", "bucket").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+
+    def place(docs: DataFrame, *ties: Column) -> DataFrame:
+        """Adds start. Documents of one id and size may stand in any order unless ties tell them apart."""
+        within = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, -1)
+        rows = dealt(docs).withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["sid", "bucket"])
+        return rows.withColumn("start", F.col("base") + F.col("inside")).drop("base", "inside", "bucket")
+
+    placed = place(sized).select("doc_id", "sid", "size", "start")
 
     # Slots of the mix, made in runs so that a large source's slots are made by many tasks. The
     # sources carry no broadcast hint here, as what is derived from them would inherit it.
@@ -165,19 +190,38 @@ def mix(
         F.when((F.col("epoch") == F.col("epochs")) & (F.col("index") == F.floor(F.col("rest") / block_words)), F.pmod("rest", F.lit(block_words))).alias("part"),
     )
 
-    # Blocks that the mix takes, joined with the documents' pieces by block index.
-    used = slots.groupBy("sid", "block").agg(F.sum(F.when(F.col("part").isNull(), 1).otherwise(0)).alias("times"), F.coalesce(F.max("part"), F.lit(0)).alias("part"))
-    end = F.col("start") + F.col("size")
-    pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))))
-    left = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
-    pieces = pieces.withColumns({"left": left, "n": F.least(end - F.col("block") * block_words, F.lit(block_words)) - left})
-    part = F.greatest(F.least(F.col("part") - F.col("left"), F.col("n")), F.lit(0))
-    words = F.coalesce(F.col("n") * F.col("times") + part, F.lit(0))
-    # The estimate of the used blocks' size comes from the few rows of the sources, so the join must be told not to broadcast them.
-    taken = pieces.join(used.hint("merge"), ["sid", "block"], "left").groupBy("doc_id", "sid", "size", "start").agg(F.sum(words).alias("taken"))
+    # The documents' words, cut at the ends of blocks and put together by block.
+    start, end = F.col("start"), F.col("start") + F.col("size")
+
+    def cut(words: Column):
+        def piece(block: Column) -> Column:
+            left = F.greatest(start - block * block_words, F.lit(0))
+            n = F.least(end - block * block_words, F.lit(block_words)) - left
+            own = F.slice(words, (F.greatest(block * block_words - start, F.lit(0)) + 1).cast("int"), n.cast("int"))
+            return F.struct(block.alias("block"), left.alias("left"), start.alias("start"), F.array_join(own, " ").alias("text"))
+
+        return F.transform(F.sequence(F.floor(start / block_words), F.floor((end - 1) / block_words)), piece)
+
+    pieces = place(whole_docs.filter("size > 0"), F.xxhash64("text"), F.col("text"))
+    pieces = pieces.select("sid", F.explode(let(words_of(F.col("text")), cut)).alias("piece"))
+    pieces = pieces.select("sid", "piece.block", F.struct("piece.left", "piece.start", "piece.text").alias("piece"))
+    blocks = pieces.groupBy("sid", "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))  # at most block_words pieces
+
+    # Every slot gets its block; the last one of a source only the words still missing.
+    # The estimate of the slots' size comes from the few rows of the sources, so the join must be told not to broadcast them.
+    first_words = lambda p: F.struct(
+        p["left"].alias("left"), p["start"].alias("start"), F.call_function("substring_index", p["text"], F.lit(" "), (F.col("part") - p["left"]).cast("int")).alias("text")
+    )
+    taken_pieces = F.when(F.col("part").isNull(), F.col("pieces")).otherwise(F.transform(F.filter("pieces", lambda p: p["left"] < F.col("part")), first_words))
+    filled = blocks.join(slots.hint("merge"), ["sid", "block"]).select("shard", "sid", "slot", "block", taken_pieces.alias("pieces"))
+    mixed = filled.join(F.broadcast(sources.select("sid", "source")), "sid").select("shard", "sid", "source", "slot", "block", F.array_join(F.col("pieces.text"), " ").alias("text"), "pieces")
+
+    given = filled.select("sid", F.explode("pieces").alias("piece")).select("sid", "piece.start", count_joined(F.col("piece.text")).alias("n"))
+    given = given.groupBy("sid", "start").agg(F.sum("n").alias("taken"))
+    taken = placed.filter("size > 0").join(given, ["sid", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     nothing = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     taken = taken.unionByName(nothing).join(F.broadcast(sources), "sid").select("doc_id", "source", "size", "source_size", "target", "taken")
-    return Mix(sources, placed, slots, taken)
+    return Mix(sources, placed, slots, mixed, taken)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

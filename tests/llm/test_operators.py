@@ -289,6 +289,35 @@ def test_mixing(docs, odd, empty):
     assert mixing.mix(empty).taken.count() == 0
 
 
+def test_mixing_gives_the_mix(docs, odd, empty):
+    for df in (docs, odd):
+        made = mixing.mix(df, block_words=16, shard_slots=64)
+        rows, plan = made.mixed.collect(), {r["sid"]: r for r in made.sources.collect()}
+        own = defaultdict(list)
+        for r in df.select("text", "source").collect():
+            own[r["source"]].append(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        by_source, blocks, shards = defaultdict(list), {}, Counter()
+        for r in rows:
+            words = r["text"].split(" ")
+            by_source[r["sid"]].append(r)
+            shards[r["shard"]] += 1
+            assert r["text"] == " ".join(p["text"] for p in r["pieces"]) and 1 <= len(words) <= 16
+            longest = blocks.setdefault((r["sid"], r["block"]), words)
+            assert longest[: len(words)] == words[: len(longest)]  # a block is the same each time, but for the cut last one
+            blocks[r["sid"], r["block"]] = max(longest, words, key=len)
+        slots = {(s["sid"], s["slot"]): (s["shard"], s["block"]) for s in made.slots.collect()}
+        assert {(r["sid"], r["slot"]): (r["shard"], r["block"]) for r in rows} == slots and len(rows) == len(slots)
+        assert set(shards) <= set(range(max(1, len(rows) // 64))) and (len(rows) < 1000 or max(shards.values()) < 2 * len(rows) / len(shards))
+        assert Counter(s["sid"] for s in made.slots.collect()) == Counter({i: p["slots"] for i, p in plan.items() if p["slots"]})
+        for sid, p in plan.items():
+            assert sum(len(r["text"].split(" ")) for r in by_source[sid]) == p["words"]
+            if p["epochs"] >= 1:  # all words of the source, as often as they stand in it
+                whole = Counter(w for (i, _), words in blocks.items() if i == sid for w in words)
+                assert whole == Counter(w for words in own[p["source"]] for w in words)
+        assert sum(r["taken"] for r in made.taken.collect()) == sum(p["words"] for p in plan.values())
+    assert mixing.mix(empty).mixed.count() == 0
+
+
 # Jaccard join
 
 
