@@ -11,8 +11,9 @@ from .common import table
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 #: Marks and spaces that may stand between the words of one find, as in lists and tables.
 BETWEEN = r"[^\w(=:+]{0,5}"
+SECRET_NAME = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)" + BETWEEN + r"[=:])"
 SECRET = (
-    r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)" + BETWEEN + r"[=:]" + BETWEEN + r"[A-Za-z0-9_+/-]{16,}[\"']?)"
+    SECRET_NAME + r"(?i:" + BETWEEN + r"[A-Za-z0-9_+/-]{16,}[\"']?)"
     r"|\"[0-9A-Fa-f]{32,64}\""
 )
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -25,6 +26,9 @@ PLAIN_CARD = r"(?<!\d)\d{13,19}(?!\d)"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}" + BETWEEN + r")?\(\d{2,4}\)" + BETWEEN + r"\d{3,4}[ .-]\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 GROUPED_CARD = r"(?<!\d)(?<!\d-)\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?![\d]|-\d)"
 PATTERN = "|".join([EMAIL, SECRET, IBAN, DATE, IP, SSN, PLAIN_CARD, GROUPED_CARD, CARD, PHONE])
+#: What every find has: a digit, an @, 32 letters in quotes or the name of a secret. The single characters are tried first, as most texts with finds have them.
+ANY_FIND = r"[0-9@]"
+NO_DIGIT_FIND = SECRET_NAME + r"|\"[A-Fa-f]{32}"
 #: Days from 1900-01-01 to 2099-12-31; 17 x 4297.
 DAYS = 73_049
 
@@ -73,6 +77,34 @@ def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     return once(moved, lambda s: F.concat(F.lpad(s["l"].cast("string"), high, "0"), F.when(low > 0, F.lpad(s["r"].cast("string"), low, "0")).otherwise(F.lit(""))))
 
 
+def permuted_letters(letters: Column, key: str, kind: str) -> Column:
+    """Another string of as many letters A to Z (1 to 26); one value for one value."""
+    high = F.floor((F.length(letters) + 1) / 2).cast("int")
+    low = F.length(letters) - high
+    size = lambda n: F.round(F.pow(F.lit(26.0), n)).cast("long")
+    number = lambda text: F.aggregate(F.filter(characters(text), lambda c: c != ""), F.lit(0).cast("long"), lambda s, c: s * 26 + F.ascii(c) - 65)
+    halves = F.struct(number(F.substr(letters, F.lit(1), high)).alias("l"), number(F.substr(letters, high + 1)).alias("r"))
+    letter = lambda x, place: F.char(F.pmod(F.floor(x / size(place)), F.lit(26)) + 65)
+    places = lambda n: F.when(n > 0, F.reverse(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))).otherwise(F.array().cast("array<int>"))
+    written = lambda x, n: F.array_join(F.transform(places(n), lambda place: letter(x, place)), "")
+    return once(network(halves, size(high), size(low), key, kind), lambda s: F.concat(written(s["l"], high), written(s["r"], low)))
+
+
+def permuted_runs(text: Column, key: str) -> Column:
+    """The text of digits and capitals with every run of at most 18 of one kind permuted within its own alphabet."""
+    runs = F.regexp_extract_all(text, F.lit("([0-9]{1,18}|[A-Z]{1,18})"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), permuted_digits(F.when(x.rlike("^[0-9]"), x).otherwise(F.lit("0")), key, "iban")).otherwise(permuted_letters(x, key, "iban"))), "")
+
+
+def spaced(shape: Column, text: Column) -> Column:
+    """The text with spaces put where the shape has them."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
+    step = lambda s, c: F.when(c == " ", F.struct(F.concat(s["out"], c).alias("out"), s["i"].alias("i"))).otherwise(
+        F.struct(F.concat(s["out"], F.substr(text, s["i"] + 1, F.lit(1))).alias("out"), (s["i"] + 1).alias("i"))
+    )
+    return F.aggregate(characters(shape), start, step, lambda s: s["out"])
+
+
 def characters(text: Column) -> Column:
     return F.split(text, "")
 
@@ -143,9 +175,9 @@ def pseudonym(m: Column, key: str) -> Column:
 
     compact = F.regexp_replace(m, " ", "")
     rearranged = F.concat(F.substr(compact, F.lit(5)), F.substring(compact, 1, 4))
-    tail = F.regexp_extract(compact, "^.{4}.*?([0-9]{1,18})$", 1)
-    new_bban = F.concat(F.substr(compact, F.lit(5), F.length(compact) - 4 - F.length(tail)), permuted_digits(tail, key, "iban"))
+    new_bban = permuted_runs(F.substr(compact, F.lit(5)), key)
     iban = once(new_bban, lambda x: F.concat(F.substring(compact, 1, 2), F.lpad((F.lit(98) - mod97(F.concat(x, F.substring(compact, 1, 2), F.lit("00")))).cast("string"), 2, "0"), x))
+    iban = once(iban, lambda x: spaced(m, x))
 
     local = F.substring_index(m, "@", 1)
     email = F.concat(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(local), F.lower(F.substring_index(m, "@", -1))), 256), 1, 12), F.lit("@mail.invalid"))
@@ -160,7 +192,7 @@ def pseudonym(m: Column, key: str) -> Column:
     return (
         F.when(m.contains("@"), made("email", email))
         .when(value != "", made("secret", secret))
-        .when(m.rlike("^[A-Z]{2}[0-9]{2}"), F.when((mod97(rearranged) == 1) & (tail != ""), made("iban", iban)).otherwise(stays))
+        .when(m.rlike("^[A-Z]{2}[0-9]{2}"), F.when(mod97(rearranged) == 1, made("iban", iban)).otherwise(stays))
         .when(m.rlike(f"^(?:{DATE})$"), F.when(day.isNotNull(), made("date", date)).otherwise(stays))
         .when(m.rlike(f"^(?:{IP})$"), F.when(F.forall(octets, lambda x: x.cast("int") < 256), made("ip", ip)).otherwise(stays))
         .when(m.rlike(f"^(?:{SSN})$"), F.when(ssn_valid, made("ssn", ssn)).otherwise(stays))
@@ -180,13 +212,13 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     E-mail addresses and secrets (token = "...") have no number format; they become keyed hashes.
     What fails its validation stays as it is.
 
-    Only built-in functions over the scan; no shuffle. Texts without a digit or an @ are passed on
-    unread by the patterns. Null text stays null; repeated rows each give a row; texts of any length
+    Only built-in functions over the scan; no shuffle. Texts without a digit, an @ or the name of a
+    secret are passed on unread by the patterns. Null text stays null; repeated rows each give a row; texts of any length
     are read whole; other columns are ignored.
     """
     none = F.array().cast("array<struct<kind:string,original:string,text:string>>")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    finds = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(f"({PATTERN})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    finds = F.when(F.col("text").rlike(ANY_FIND) | F.col("text").rlike(NO_DIGIT_FIND), F.regexp_extract_all("text", F.lit(f"({PATTERN})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     found = source.withColumn("finds", F.coalesce(finds, F.array().cast("array<string>")))
     replaced = F.when(F.size("finds") > 0, F.transform("finds", lambda m: once(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), m.alias("original"), p["text"].alias("text"))))).otherwise(none)
     found = found.select("doc_id", "text", replaced.alias("replaced"))

@@ -486,6 +486,33 @@ def test_pseudonyms(spark, odd, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
+def test_pseudonyms_without_digits_and_with_letters(spark):
+    ibans = ["MT84 MALT 0110 0001 2345 MTLC AST0 01S", "MU17BOMM0101101030300200000MUR", "FR1420041010050500013M02606", "SC18SSCB11010000000000001497USD"]
+    secret = 'password = "correcthorsebatterystaple"'
+    rows = [*ibans, f"{secret} here", f"{secret} and 7", f'"{"abcdefAB" * 4}"', "the password: none of it"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.pseudonymise(df, key="k").collect()}
+    rest = lambda text: int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+    for i, was in enumerate(ibans):
+        now = found[i]["text"]
+        assert [x["kind"] for x in found[i]["found"]] == ["iban"] and rest(now.replace(" ", "")) == 1
+        shape = lambda text: re.sub("[A-Z]", "A", re.sub("[0-9]", "9", text))
+        assert shape(now) == shape(was) and now[:2] == was[:2]
+        for a, b in zip(re.findall(r"\d{4,}|[A-Z]{3,}", was.replace(" ", "")[4:]), re.findall(r"\d{4,}|[A-Z]{3,}", now.replace(" ", "")[4:]), strict=True):
+            assert a != b
+    assert [[x["kind"] for x in found[i]["found"]] for i in (4, 5, 6, 7)] == [["secret"], ["secret"], ["secret"], []]
+    assert found[4]["found"][0]["text"] == found[5]["found"][0]["text"] and "horse" not in found[4]["text"] and found[7]["text"] == rows[7]
+
+
+def test_letters_permute(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3):
+        all_ = spark.range(26**n).select(F.concat(*(F.char(F.pmod(F.floor(F.col("id") / 26**i), F.lit(26)) + 65) for i in range(n))).alias("x"))
+        made = all_.select(pii.permuted_letters(F.col("x"), "k", "x").alias("p")).distinct()
+        assert made.count() == 26**n == made.filter(f"length(p) = {n} AND p RLIKE '^[A-Z]+$'").count()
+
+
 def test_networks_permute(spark):
     from pyspark.sql import functions as F
 
