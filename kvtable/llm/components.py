@@ -9,21 +9,28 @@ from .common import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of edges (left, right: long).
+    """node, component (a node of it, the same for all) for every node of edges (left, right: of one orderable type).
 
-    Every round each node takes the smallest label among its own and its neighbours', and then its
-    label's label; labels are written to the shared folder. The rounds grow with the logarithm of
-    a component's width.
+    The graph is contracted: every node points to the smallest among itself and its neighbours, and
+    then to what that one points to; edges go on between the nodes pointed to, without loops and
+    repeats. At least half of the nodes go in a round, so the rounds grow with the logarithm of a
+    component's width, and each costs no more than the edges that are left. Nulls and loops are no links.
     """
-    both = edges.select(F.col("left").alias("a"), F.col("right").alias("b"))
-    both = materialize(both.union(both.select("b", "a")).distinct(), "component-edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "component-labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("next"))
-        head = labels.select(F.col("node").alias("head"), F.col("label").alias("beyond"))
-        met = met.join(head, met["next"] == head["head"], "left").select("node", F.least("next", "beyond").alias("label"), (F.least("next", "beyond") != F.col("label")).alias("moved"))
-        met = materialize(met, "component-labels")
-        if not met.filter("moved").limit(1).count():
-            return met.select("node", F.col("label").alias("component"))
-        labels = met.select("node", "label")
+    work = edges.filter("left != right").select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).distinct()
+    work = materialize(work, "component-edges")
+    labels = None
+    while labels is None or work.limit(1).count():
+        both = work.select(F.col("a").alias("node"), F.col("b").alias("other")).union(work.select("b", "a"))
+        to = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("to")), "component-steps")
+        beyond = to.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+        to = materialize(to.join(beyond, "to").select("node", F.col("beyond").alias("to")), "component-steps")
+        if labels is None:
+            labels = to.select("node", F.col("to").alias("component"))
+        else:
+            moved = to.select(F.col("node").alias("component"), "to")
+            labels = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            labels = materialize(labels, "component-labels")
+        step = lambda end: to.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to"))  # noqa: E731, B023
+        work = work.join(step("a"), "a").join(step("b"), "b").filter("a_to != b_to")
+        work = materialize(work.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct(), "component-edges")
+    return labels

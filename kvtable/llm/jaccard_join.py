@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, table
 from .components import components
-from .partenum import Bands, Shingler, bucket_of, forest, identity, shared, signatures
+from .partenum import NAME, Bands, bucket_of, forest, names_of, shared, shingle_sets, signatures
 
 #: Signatures that one task of the signature shuffle gets.
 BUCKET_SIGNATURES = 1_000_000
@@ -21,107 +21,152 @@ FEW = 8
 #: Sets and elements that one block of a cell holds.
 BLOCK_SETS = 512
 BLOCK_ELEMENTS = 256_000
-#: Numbers that the ids of candidates are folded into; bounds what is sent to the tasks (128 KB of bits).
-ID_BUCKETS = 1 << 20
+#: Numbers that the ids of candidates are folded into; bounds what is sent to the tasks (1 MB of bits).
+ID_BUCKETS = 1 << 23
+#: Bytes of text that are shingled at a time (or one text, if that is longer), and signatures that are packed at a time.
+CHUNK_BYTES = 1 << 19
+CHUNK_SIGNATURES = 250_000
 
 
-def _long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64), pa.int64())
+def _names(x: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, length: int, bands: Bands) -> DataFrame:
-    """doc_id, n_shingles, set_id, tags, common: one row a document; set_id names the set of shingles."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    schema = T.StructType([source.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType())])
+def _longs(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Parts of a binary column of about CHUNK_BYTES: first row, row after the last, bytes of the column and offsets of the rows."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + CHUNK_BYTES, "right")) - 1)
+        yield at, end, data, offsets[at : end + 1]
+        at = end
+
+
+def _bytes_of(docs: DataFrame, text_col: str):
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+
+
+def named_rows(docs: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """doc_id, n_shingles, set_id: one row a document; set_id (128 bits) names its set of shingles, null for an empty set."""
+    source = docs.select(F.col(id_col).alias("doc_id"), _bytes_of(docs, text_col))
+    schema = T.StructType([source.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(length)
         for batch in batches:
-            n, names = [], []
-            for text in batch.column("text"):
-                elements = shingle(text.as_py())
-                n.append(len(elements))
-                names.append(identity(elements) if len(elements) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.int64())], schema.fieldNames())
+            for at, end, data, offsets in _chunks(batch.column("text")):
+                elements, sizes = shingle_sets(data, offsets, length)
+                full = np.flatnonzero(sizes)
+                names = _names(names_of(elements, sizes[full])) if len(full) else pa.array([], pa.binary())
+                place = np.full(len(sizes), -1)
+                place[full] = np.arange(len(full))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), _longs(sizes), names.take(pa.array(place, mask=place < 0))], schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
 
 def signature_findings(docs: DataFrame, text_col: str, length: int, bands: Bands, buckets: int) -> DataFrame:
-    """kind, a, b, tag, n. pair: two sets share n signatures under a tag that few sets have; many: set a has signature b, which many have;
-    common: set a has at least n signatures in common with any partner under the tag.
+    """kind, a, b, tag, n, sig. pair: sets a < b share n signatures under a tag that few sets have; many: set a has signature sig, which many have, b first.
 
-    Signatures travel packed, one row a bucket and batch of texts; a bucket is one part of the hash
-    range, so it is bounded whatever the text, and a single signature has at most one row a set."""
-    source = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    Signatures travel packed, one row a bucket and chunk of texts; a bucket is one part of the hash
+    range, so it is bounded whatever the text, and a single signature has a row a set and chunk at most."""
+    source = docs.select(_bytes_of(docs, text_col))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingler(length), set()
         sigs: list[np.ndarray] = []
         owners: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             s, o = np.concatenate(sigs), np.concatenate(owners)
-            at = bucket_of(s, buckets)
-            order = np.argsort(at, kind="stable")
-            s, o, at = s[order], o[order], at[order]
-            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            ends = [*cut[1:], len(at)]
             sigs.clear()
             owners.clear()
-            pack = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(at[cut], pa.int64()), pack(s), pack(o)], ["bucket", "sigs", "owners"])
+            names, o = np.unique(o, return_inverse=True)
+            key = bucket_of(s, buckets) * len(names) + o
+            order = np.argsort(key, kind="stable")
+            s, key = s[order], key[order]
+            run = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # one set's signatures in one bucket
+            lengths = np.diff(np.append(run, len(key))).astype(np.uint32)
+            at, o = np.divmod(key[run], len(names))
+            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            ends = np.append(cut[1:], len(at))
+            first = np.append(run, len(key))
+            pack = lambda x, i, j: pa.array([x[a:b].tobytes() for a, b in zip(i, j, strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([_longs(at[cut]), pack(s, first[cut], first[ends]), pack(names[o], cut, ends), pack(lengths, cut, ends)], ["bucket", "sigs", "owners", "lengths"])
 
         for batch in batches:
-            for text in batch.column("text"):
-                elements = shingle(text.as_py())
-                if len(elements) and (name := identity(elements)) not in seen:
-                    seen.add(name)  # copies within this task; those of other tasks meet in the bucket
-                    sigs.append(signatures(elements, bands)[0])
-                    owners.append(np.full(len(sigs[-1]), name, np.int64))
-            if sum(map(len, sigs)) > 500_000:
-                yield flush()
+            for _, _, data, offsets in _chunks(batch.column("text")):
+                elements, sizes = shingle_sets(data, offsets, length)
+                if not len(elements):
+                    continue
+                sizes = sizes[sizes > 0]
+                names = names_of(elements, sizes)
+                once = np.zeros(len(names), bool)
+                once[np.unique(names, return_index=True)[1]] = True  # copies of other chunks meet in the bucket
+                s, o, *_ = signatures(elements[np.repeat(once, sizes)], sizes[once], bands)
+                sigs.append(s)
+                owners.append(names[once][o])
+                if sum(map(len, sigs)) > CHUNK_SIGNATURES:
+                    yield flush()
         if sigs:
             yield flush()
 
     def reduce(packed: pa.Table) -> pa.Table:
         join = lambda name, kind: np.frombuffer(b"".join(x.as_py() for x in packed.column(name)), kind)
-        (a, b, tag, n), (sig, owner, its_tag) = shared(join("sigs", np.uint64), join("owners", np.int64), FEW)
-        kind = ["pair"] * len(a) + ["many"] * len(sig)
-        return pa.table({"kind": pa.array(kind, pa.string()), "a": _long(np.concatenate([a, owner])), "b": _long(np.concatenate([b, sig])), "tag": _long(np.concatenate([tag, its_tag])), "n": _long(np.concatenate([n, np.ones(len(sig), np.int64)]))})
+        names, which = np.unique(join("owners", NAME), return_inverse=True)
+        owners = np.repeat(which, join("lengths", np.uint32))
+        (a, b, tag, n), (owner, hub, its_tag, sig) = shared(join("sigs", np.uint64), owners, FEW)
+        kinds = pa.DictionaryArray.from_arrays(pa.array(np.repeat([0, 1], [len(a), len(owner)])), ["pair", "many"]).cast(pa.string())
+        both = lambda x, y: np.concatenate([x, y])
+        ones, none = np.ones(len(owner), np.int64), np.zeros(len(a), np.int64)
+        return pa.table({"kind": kinds, "a": _names(names[both(a, owner)]), "b": _names(names[both(b, hub)]), "tag": _longs(both(tag, its_tag)), "n": _longs(both(n, ones)), "sig": _longs(both(none, sig))})
 
-    packed = source.mapInArrow(emit, "bucket long, sigs binary, owners binary")
-    return packed.groupBy("bucket").applyInArrow(reduce, "kind string, a long, b long, tag long, n long")
+    packed = source.mapInArrow(emit, "bucket long, sigs binary, owners binary, lengths binary")
+    return packed.groupBy("bucket").applyInArrow(reduce, "kind string, a binary, b binary, tag long, n long, sig long")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, length: int, bands: Bands) -> DataFrame:
-    """set_id, elements, tags, common of the wanted sets (set_id, doc_id of one document that has it).
+    """set_id, elements, tags, common, hub of the wanted sets (set_id, doc_id of one document that has it, hub).
 
     Texts are read again, but shingled only where the folded id is a wanted one."""
-    fold = F.pmod(F.xxhash64(F.col(id_col)), F.lit(ID_BUCKETS))
-    bits = np.zeros(ID_BUCKETS, bool)
-    bits[[r[0] for r in wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int")).distinct().collect()]] = True  # at most ID_BUCKETS rows
-    packed = np.packbits(bits)
-    source = docs.select(fold.alias("fold"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    fold = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
+    words = wanted.select(fold(F.col("doc_id")).alias("at")).groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(32)).cast("int"))).alias("bits"))
+    words = words.toPandas()  # at most ID_BUCKETS / 32 rows
+    packed = np.zeros(ID_BUCKETS // 32, np.uint32)
+    packed[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    source = docs.select(fold(F.col(id_col)).alias("fold"), _bytes_of(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, bits, seen = Shingler(length), np.unpackbits(packed).astype(bool), set()
         for batch in batches:
-            names, sets, tags, common = [], [], [], []
-            at = np.flatnonzero(bits[batch.column("fold").to_numpy()])
-            for text in batch.column("text").take(pa.array(at)):
-                elements = shingle(text.as_py())
-                if len(elements) and (name := identity(elements)) not in seen:
-                    seen.add(name)
-                    _, own, least = signatures(elements, bands)
-                    names.append(name)
-                    sets.append(elements.tobytes())
-                    tags.append(own)
-                    common.append(least)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary()), pa.array(tags, pa.list_(pa.int64())), pa.array(common, pa.list_(pa.int64()))], ["set_id", "elements", "tags", "common"])
-
-    found = source.mapInArrow(run, "set_id long, elements binary, tags array<long>, common array<long>")
-    return found.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+            at = batch.column("fold").to_numpy()
+            hit = np.flatnonzero((packed[at // 32] >> (at % 32).astype(np.uint32)) & 1)
+            for _, _, data, offsets in _chunks(batch.column("text").take(pa.array(hit))):
+                elements, sizes = shingle_sets(data, offsets, length)
+                if not len(elements):
+                    continue
+                sizes = sizes[sizes > 0]
+                _, _, of, tags, common = signatures(elements, sizes, bands)
+                order = np.argsort(of, kind="stable")
+                listed = lambda values, n: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), _longs(values))
+                n_tags = np.bincount(of, minlength=len(sizes))
+                yield pa.RecordBatch.from_arrays([_names(names_of(elements, sizes)), listed(elements, sizes), listed(tags[order], n_tags), listed(common[order], n_tags)], ["set_id", "elements", "tags", "common"])
+
+    found = source.mapInArrow(run, "set_id binary, elements array<long>, tags array<long>, common array<long>")
+    return found.join(wanted.select("set_id", "hub"), "set_id").dropDuplicates(["set_id"])
+
+
+def hub_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """left, right: the sets that are linked with the hub chosen for them. One comparison a set, by a join that can be split where a hub is frequent."""
+    hubs = sets.select("hub").filter("hub IS NOT NULL").distinct()
+    hubs = sets.select(F.col("set_id").alias("hub"), F.col("elements").alias("theirs")).join(hubs, "hub", "left_semi")
+    hubs = materialize(hubs, "join-hub-sets")  # so the join's two sides are dealt for it alone
+    pairs = sets.filter("hub IS NOT NULL").select("set_id", "hub", "elements").join(hubs, "hub")
+    both = F.size(F.array_intersect("elements", "theirs"))
+    pairs = pairs.select("set_id", "hub", both.alias("both"), (F.size("elements") + F.size("theirs")).alias("sum"))
+    return pairs.filter(F.col("both") * den >= (F.col("sum") - F.col("both")) * num).select(F.col("hub").alias("left"), F.col("set_id").alias("right"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -136,57 +181,78 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        signatures than both sets have in common with any partner is no link, and is dropped.
     3. A signature that many sets have (a frequent passage) is dropped for every set that must have
        another signature in common with each of its partners. Where it cannot be dropped its owners
-       are joined in a star.
-    4. Components of these candidates are cut into blocks of bounded size; every pair of blocks is a
-       cell, a task that compares sets by exact intersection, skips what is already joined, and
-       returns at most one link a set.
-    5. Components of the links give component_id. Nothing but counts and bits of a fixed size passes through the driver.
+       stay candidates of each other.
+    4. Every set is compared with one hub, the first owner of most of its signatures. Sets that are
+       linked so are one group from here on: versions of one text are joined by a comparison each,
+       and pairs within a group are no candidates any more.
+    5. What is left, candidates of different groups, is cut into components and these into blocks
+       of bounded size; every pair of blocks is a cell, a task that compares sets by exact
+       intersection, skips what is already joined, and returns at most one link a set.
+    6. Components of all links give component_id. Nothing but counts and bits of a fixed size passes through the driver.
 
     A text of fewer words than a shingle is one shingle; null and empty texts, and texts without
     words, have an empty set and are linked with nothing: their component is their own id. Rows
     that repeat an id or a text are linked (distance 0). Rows with null ids take part; a component of null ids only
-    has a null component. Other columns are ignored.
+    has a null component. Texts of any length are read whole, in slices. An empty table gives an empty result. Other columns are ignored.
     """
     bands = Bands(num, den)
-    rows = materialize(shingle_sets(docs, id_col, text_col, shingle, bands), "join-rows")
+    rows = materialize(named_rows(docs, id_col, text_col, shingle), "join-rows")
     classes = materialize(rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "join-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, int(total * 0.6 / BUCKET_SIGNATURES))
     found = materialize(signature_findings(docs, text_col, shingle, bands, buckets), "join-findings")
 
-    owners = found.select(F.col("a").alias("set_id")).union(found.filter("kind = 'pair'").select("b")).distinct()
-    wanted = classes.join(owners, "set_id", "left_semi").select("set_id", "doc_id", "n")
+    # The sets that have candidates, each with the hub that it shares most signatures with.
+    pairs = found.filter("kind = 'pair'").groupBy("a", "b", "tag").agg(F.sum("n").alias("n"))
+    pairs = materialize(pairs, "join-pairs")
+    many = found.filter("kind = 'many'")
+    votes = pairs.select(F.col("b").alias("set_id"), F.col("a").alias("hub"), "n").union(many.select("a", "b", "n"))
+    votes = votes.groupBy("set_id", "hub").agg(F.sum("n").alias("n"))
+    votes = votes.groupBy("set_id").agg(F.max_by(F.when(F.col("hub") != F.col("set_id"), F.col("hub")), F.struct(F.col("hub") != F.col("set_id"), "n", "hub")).alias("hub"))
+    owners = votes.union(pairs.select("a", F.lit(None).cast("binary"))).groupBy("set_id").agg(F.max("hub").alias("hub"))
+    wanted = materialize(classes.join(owners, "set_id").select("set_id", "doc_id", "n", "hub"), "join-wanted")
     sets = materialize(candidate_sets(docs, wanted, id_col, text_col, shingle, bands), "join-sets")
-
-    many = found.filter("kind = 'many'").groupBy("a", "tag").agg(F.count("*").alias("many"))
+    first_links = materialize(hub_links(sets, num, den), "join-links")
+    groups = components(first_links)
+    groups = wanted.join(groups.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("set_id", "n", F.coalesce("component", "set_id").alias("label"))
+    groups = materialize(groups, "join-groups")
+    label = lambda of, out: groups.select(F.col("set_id").alias(of), F.col("label").alias(out))
+
+    # Candidates of different groups.
+    counted = many.groupBy("a", "tag").agg(F.count("*").alias("many"))
     least = sets.select(F.col("set_id").alias("a"), F.explode(F.arrays_zip("tags", "common")).alias("x")).select("a", F.col("x.tags").alias("tag"), F.col("x.common").alias("common"))
-    least = least.join(many, ["a", "tag"], "left").select("a", "tag", (F.col("common") - F.coalesce("many", F.lit(0))).alias("least"))
+    least = least.join(counted, ["a", "tag"], "left").select("a", "tag", (F.col("common") - F.coalesce("many", F.lit(0))).alias("least"))
     least = materialize(least, "join-least")
-    pairs = found.filter("kind = 'pair'").groupBy("a", "b", "tag").agg(F.sum("n").alias("n"))
-    pairs = pairs.join(least.withColumnRenamed("least", "of_a"), ["a", "tag"]).join(least.select(F.col("a").alias("b"), "tag", F.col("least").alias("of_b")), ["b", "tag"])
-    pairs = pairs.filter("n >= of_a AND n >= of_b").select(F.col("a").alias("left"), F.col("b").alias("right"))
-    stuck = found.filter("kind = 'many'").join(least.filter("least <= 0"), ["a", "tag"], "left_semi").select("a", "b")
+    apart = pairs.join(label("a", "la"), "a").join(label("b", "lb"), "b").filter("la != lb").select("a", "b", "tag", "n")
+    apart = apart.join(least.withColumnRenamed("least", "of_a"), ["a", "tag"]).join(least.select(F.col("a").alias("b"), "tag", F.col("least").alias("of_b")), ["b", "tag"])
+    apart = apart.filter("n >= of_a AND n >= of_b").select(F.col("a").alias("left"), F.col("b").alias("right"))
+    stuck = many.join(least.filter("least <= 0").select("a", "tag"), ["a", "tag"], "left_semi").select("a", "sig").join(label("a", "label"), "a")
     stuck = materialize(stuck, "join-many")
-    hubs = materialize(stuck.groupBy("b").agg(F.min("a").alias("hub")), "join-hubs")
-    stars = stuck.join(hubs, "b").filter("a != hub").select(F.col("hub").alias("left"), F.col("a").alias("right")).distinct()
-    near = components(pairs.union(stars))
+    hubs = stuck.groupBy("sig").agg(F.min("a").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("sig", "hub")
+    stars = stuck.join(materialize(hubs, "join-hubs"), "sig").filter("a != hub").select(F.col("hub").alias("left"), F.col("a").alias("right")).distinct()
+    near = components(apart.union(stars))
 
-    near = near.join(classes.select(F.col("set_id").alias("node"), "n"), "node")
+    near = near.join(groups.select(F.col("set_id").alias("node"), "n", "label"), "node")
     sizes = near.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
     sizes = materialize(sizes, "join-sizes")
     placed = near.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = placed.select("node", "component", "block", other).select("node", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    cells = placed.select("node", "component", "label", "block", other).select("node", "component", "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     # A component of one block costs little; many of them share a task.
     cells = cells.join(sets.select(F.col("set_id").alias("node"), "elements"), "node")
 
     def compare(rows: pa.Table) -> pa.Table:
-        names = rows.column("node").to_numpy()
-        links = forest(names, [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("elements")], num, den) if len(names) > 1 else []
-        return pa.table({"left": pa.array([x for x, _ in links], pa.int64()), "right": pa.array([y for _, y in links], pa.int64())})
-
-    links = materialize(cells.groupBy("component", "i", "j").applyInArrow(compare, "left long, right long"), "join-links")
-    joined = components(links)
+        rows = rows.combine_chunks()
+        elements = rows.column("elements").combine_chunks()
+        names = rows.column("node")
+        links = []
+        if len(names) > 1:
+            labels = np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)[1]
+            links = forest(elements.flatten().to_numpy().view(np.uint64), elements.value_lengths().to_numpy().astype(np.int64), labels, num, den)
+        return pa.table({"left": names.take(pa.array([x for x, _ in links], pa.int64())), "right": names.take(pa.array([y for _, y in links], pa.int64()))})
+
+    links = materialize(cells.groupBy("component", "i", "j").applyInArrow(compare, "left binary, right binary"), "join-links")
+    joined = components(first_links.union(links))
     smallest = joined.join(classes.select(F.col("set_id").alias("node"), "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     smallest = joined.join(materialize(smallest, "join-smallest"), "component").select(F.col("node").alias("set_id"), "component_id")
     ids = classes.select("set_id", "doc_id").join(smallest, "set_id", "left").select("set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -198,3 +264,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, n, array_to_string(w[i + 1 : i + n], ' ') AS shingle
+  FROM (SELECT rid, w, least(5, len(w)) AS n, unnest(range(0, len(w) - least(5, len(w)) + 1)) AS i FROM d WHERE len(w) > 0)
+), size AS (SELECT rid, count(*) AS n FROM s GROUP BY rid
+), link AS (
+  SELECT a.rid AS l, b.rid AS r
+  FROM (SELECT a.rid AS l, b.rid AS r, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.n = b.n AND a.rid <> b.rid GROUP BY ALL) x
+  JOIN size a ON a.rid = l JOIN size b ON b.rid = r WHERE 100 * x.n >= 80 * (a.n + b.n - x.n)
+), reach AS (SELECT rid AS l, rid AS r FROM d UNION SELECT reach.l, link.r FROM reach JOIN link ON reach.r = link.l
+)
+SELECT d.doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN size USING (rid) JOIN reach ON reach.l = d.rid JOIN d o ON o.rid = reach.r GROUP BY d.rid, d.doc_id
+"""

@@ -1,14 +1,17 @@
-"""PartEnum signatures of shingle sets (numpy, inside tasks).
+"""PartEnum signatures of shingle sets (numpy, over whole batches of texts inside tasks).
 
 Sets are grouped by size into bands; band i pairs with itself and with band i + 1. Two sets that
-reach the similarity and whose smaller one is in band i differ in at most k_i elements. The domain
-of elements is cut into n_i > k_i parts, so at least n_i - k_i parts of two such sets are equal,
-and the hash of a set's elements in a part is a signature.
-
-Equal empty parts say nothing, so they are no signatures. A set with fewer than n_i - k_i empty
-parts must have a part in common with each of its partners that is not empty. Sets with more of
-them are enumerated again over more parts, in the end over single elements; if all parts that two
-partners have in common are empty, both of them are enumerated again, so no pair is lost.
+reach the similarity and whose smaller one is in band i differ in at most k elements. The domain of
+elements is cut into n parts and each part into three cells. As at most k / 2 parts can hold two
+differing elements or more, at least n - k / 2 parts differ in one cell at most, so two of their
+three cells are equal. Every part's subsets of two cells are enumerated, and the hash of a set's elements in such
+a subset is a signature.
+
+Equal empty subsets say nothing, so they are no signatures. A part in which a set fills two cells
+has no empty subset; a set that fills so in more than k / 2 parts has a signature in common with each of its
+partners. Sets with fewer such parts are enumerated again over more parts, of a single cell each,
+and in the end over single elements; if two partners have only empty subsets in common, both of
+them are enumerated again, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-import xxhash
 
 U = np.uint64
 #: Turns bytes that separate words (space, U+0009 to U+000D) into spaces and lower-cases A-Z.
-FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
+FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256)], np.uint8)
+#: Bytes that are turned into words at a time (or one word, if that is longer); bounds the memory of very long texts.
+SLICE = 1 << 20
+#: A set's 128-bit name, as two numbers.
+NAME = np.dtype([("high", "<u8"), ("low", "<u8")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,6 +37,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+#: A random number for each byte (0 for the separator), and odd factors by place in a word and in a shingle.
+BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+BYTE_CODES[0x20] = 0
+STEP = 0xD1342543DE82EF95
+
+
 class Bands:
     """Bands of set sizes for a similarity of num / den (4 / 5: 0.8)."""
 
@@ -46,13 +58,6 @@ class Bands:
         """Largest size that a set of this size can have as a partner."""
         return size * self.den // self.num
 
-    def band(self, size: int) -> int:
-        band = 0
-        while self.top(band) < size:
-            band += 1
-        return band
-
-    @cache  # noqa: B019
     def differing(self, band: int) -> int:
         """A bound on the elements in which two partners differ, the smaller one being in this band.
 
@@ -60,85 +65,178 @@ class Bands:
         both = self.top(band) + self.partner(self.top(band))
         return both * (self.den - self.num) // (self.den + self.num)
 
-    @cache  # noqa: B019
-    def tags(self, size: int) -> tuple[tuple[int, int], ...]:
-        """(band, most differing elements) under which a set of this size is enumerated."""
-        own = self.band(size)
-        bands = [own] + ([own - 1] if own and size <= self.partner(self.top(own - 1)) else [])
-        return tuple((b, self.differing(b)) for b in bands)
+    def tops(self, largest: int) -> np.ndarray:
+        """The largest sizes of the bands up to one that holds this size."""
+        out = [1]
+        while out[-1] < largest:
+            out.append(self.top(len(out)))
+        if 4 * len(out) > TAG_MASK:
+            raise ValueError("the similarity is too close to 1 for sets of this size")
+        return np.array(out)
 
 
 #: The low bits of a signature hold 4 * band + level.
-TAG_BITS = 10
+TAG_BITS = 12
 TAG_MASK = (1 << TAG_BITS) - 1
+#: The subsets of two of a part's three cells, by the cell left out.
+SUBSETS = ((1, 2), (0, 2), (0, 1))
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+
+
+def _sealed(hashes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    return (mix(hashes) & ~U(TAG_MASK)) | tags.astype(U)
+
+
+def _cells(elements: np.ndarray, row: np.ndarray, n: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filled cells of each set, as numbers that run on from set to set (set i has n[i]), and a hash of the elements in each."""
+    at = (((elements >> U(32)) * n[row].astype(U)) >> U(32)).astype(np.int64) + starts_of(n)[row]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(mix(elements + U(level)), first)
+
+
+def signatures(elements: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of many sets that lie side by side (each ascending, none empty), and the set of each; then, for each
+    set and tag it is enumerated under: set, tag, and the least number of signatures that it has in
+    common with any partner under that tag (0 or less: no promise)."""
+    sigs: list[np.ndarray] = []
+    owners: list[np.ndarray] = []
+    promises: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    tops = bands.tops(int(sizes.max()))
+    differing = np.array([bands.differing(i) for i in range(len(tops))])
+    own = np.searchsorted(tops, sizes)
+    reach = tops * bands.den // bands.num
+    with np.errstate(over="ignore"):
+        for below in (0, 1):
+            rows = np.arange(len(sizes)) if not below else np.flatnonzero((own > 0) & (sizes <= reach[np.maximum(own - 1, 0)]))
+            for level in (0, 1, 2):
+                if not len(rows):
+                    break
+                band = own[rows] - below
+                k, tag = differing[band], band * 4 + level
+                chosen = np.zeros(len(sizes), bool)
+                chosen[rows] = True
+                its = elements if len(rows) == len(sizes) else elements[np.repeat(chosen, sizes)]
+                row = np.repeat(np.arange(len(rows)), sizes[rows])
+                if level == 0:
+                    parts = k // 2 + k // 16 + 2
+                    at, sums = _cells(its, row, 3 * parts, 0)
+                    cells = np.zeros(3 * int(parts.sum()), U)
+                    cells[at] = sums | U(1)  # 0: empty
+                    cells = cells.reshape(-1, 3)
+                    of = np.repeat(np.arange(len(rows)), parts)
+                    place = np.arange(len(cells)) - starts_of(parts)[of]
+                    for out, (i, j) in enumerate(SUBSETS):
+                        filled = np.flatnonzero(cells[:, i] | cells[:, j])
+                        o = of[filled]
+                        h = cells[filled, i] * U(0xFF51AFD7ED558CCD) + mix(cells[filled, j] + U(out)) + (place[filled] * 3 + out).astype(U) * U(STEP) + tag[o].astype(U) * U(0xC4CEB9FE1A85EC53)
+                        sigs.append(_sealed(h, tag[o]))
+                        owners.append(rows[o])
+                    thick = (cells != 0).sum(axis=1) >= 2
+                    common = np.bincount(of[thick], minlength=len(rows)) - k // 2
+                elif level == 1:
+                    parts = 3 * k + 3
+                    at, sums = _cells(its, row, parts, 1)
+                    of = np.searchsorted(np.cumsum(parts), at, "right")
+                    h = sums ^ mix((at - starts_of(parts)[of]).astype(U) * U(4096) + tag[of].astype(U))
+                    sigs.append(_sealed(h, tag[of]))
+                    owners.append(rows[of])
+                    common = np.bincount(of, minlength=len(rows)) - k
+                else:
+                    sigs.append(_sealed(its ^ mix(tag[row].astype(U)), tag[row]))
+                    owners.append(rows[row])
+                    common = sizes[rows] - k
+                promises.append((rows, tag, common))
+                rows = rows[common <= 0]
+    of, tags, common = (np.concatenate(x) for x in zip(*promises, strict=True))
+    return np.concatenate(sigs), np.concatenate(owners), of, tags, common
+
+
+def names_of(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """128-bit names of sets that lie side by side (none empty)."""
+    out = np.zeros(len(sizes), NAME)
+    first = starts_of(sizes)
+    with np.errstate(over="ignore"):
+        for part, salt in (("high", 0x9E3779B97F4A7C15), ("low", 0xC2B2AE3D27D4EB4F)):
+            out[part] = mix(np.add.reduceat(mix(elements ^ U(salt)), first) + sizes.astype(U) * U(STEP))
+    return out
 
 
-def signatures(elements: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int], list[int]]:
-    """The signatures of one set (elements: distinct, ascending 64-bit numbers), and for each of its tags the least
-    number of signatures that it has in common with any partner under that tag (0 or less: no promise)."""
-    out, tags, common = [], [], []
-    for band, k in bands.tags(len(elements)):
-        for level, n in enumerate((k + 2 + k // 5, 3 * k + 3)):
-            part = ((elements >> U(32)) * U(n)) >> U(32)
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            tag = band * 4 + level
+def _words(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word and the byte that it starts at, for texts that lie side by side (their first bytes: ends of the ones before)."""
+    hashes, at = [], []
+    begin = 0
+    while begin < len(text):
+        end = min(begin + SLICE, len(text))
+        if end < len(text):  # cut after the last separator; a longer word is taken whole
+            gap = np.flatnonzero(text[begin:end] == 0x20)
+            if len(gap):
+                end = begin + int(gap[-1]) + 1
+            else:
+                after = np.flatnonzero(text[end:] == 0x20)
+                end = end + int(after[0]) + 1 if len(after) else len(text)
+        part = text[begin:end]
+        inside = part != 0x20
+        new = inside.copy()
+        new[1:] &= ~inside[:-1]
+        border = ends[(ends >= begin) & (ends < end)] - begin
+        new[border] = inside[border]  # texts without a separator between them
+        starts = np.flatnonzero(new)
+        if len(starts):
+            lengths = np.diff(np.append(starts, len(part)))
+            place = np.arange(len(part) - starts[0]) - np.repeat(starts - starts[0], lengths)
             with np.errstate(over="ignore"):
-                sums = np.add.reduceat(mix(elements + U(level)), first)
-                out.append((mix(sums ^ mix(part[first] * U(4096) + U(tag))) & ~U(TAG_MASK)) | U(tag & TAG_MASK))
-            tags.append(tag)
-            common.append(len(first) - k)
-            if common[-1] > 0:
-                break
-        else:
-            tag = band * 4 + 2
-            out.append((mix(elements ^ mix(np.array([tag], U))) & ~U(TAG_MASK)) | U(tag & TAG_MASK))
-            tags.append(tag)
-            common.append(len(elements) - k)
-    return np.concatenate(out), tags, common
-
-
-def identity(elements: np.ndarray) -> int:
-    """A 64-bit name of the set."""
+                longest = int(place[inside[starts[0] :]].max()) + 1
+                powers = np.cumprod(np.concatenate([[U(1)], np.full(longest, STEP, U)]))
+                place[~inside[starts[0] :]] = 0
+                hashes.append(mix(np.add.reduceat(BYTE_CODES[part[starts[0] :]] * powers[place], starts - starts[0])))
+            at.append(starts + begin)
+        begin = end
+    return (np.concatenate(hashes), np.concatenate(at)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of word shingles of texts (bytes of text i: offsets[i] to offsets[i + 1]), side by side as ascending 64-bit hashes, and their sizes.
+
+    A text of fewer words is one shingle; a text without words has an empty set."""
+    offsets = np.asarray(offsets, np.int64)
+    text = FOLD[data[offsets[0] : offsets[-1]]]
+    codes, at = _words(text, offsets[1:-1] - offsets[0])
+    doc = np.searchsorted(offsets[1:] - offsets[0], at, "right")
+    n_words = np.bincount(doc, minlength=len(offsets) - 1)
+    out, of = [], []
     with np.errstate(over="ignore"):
-        value = int(mix(mix(elements ^ U(0x9E3779B97F4A7C15)).sum(dtype=U)[None] + U(len(elements)))[0])
-    return value - (1 << 64) if value >> 63 else value
-
-
-class Shingler:
-    """Sets of word shingles as ascending 64-bit hashes. A text of fewer words is one shingle; a text without words has none."""
-
-    KEPT = 300_000
-
-    def __init__(self, length: int):
-        self.length = length
-        self.hashes: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.translate(FOLD).split()
-        if not words:
-            return np.zeros(0, U)
-        if len(self.hashes) > self.KEPT:
-            self.hashes.clear()
-        known = self.hashes
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        codes = np.fromiter(map(known.__getitem__, words), U, len(words))
-        n = min(self.length, len(codes))
-        out = np.full(len(codes) - n + 1, n, U)
-        with np.errstate(over="ignore"):
-            for i in range(n):
-                out = mix(out + codes[i : len(codes) - n + 1 + i])
-        return np.unique(out)
+        factors = np.cumprod(np.full(length, STEP, U))
+        for n in range(1, length + 1):
+            if n < length:  # whole texts of n words
+                first = starts_of(n_words)[n_words == n]
+            else:
+                first = np.flatnonzero(doc[length - 1 :] == doc[: max(0, len(doc) - length + 1)])
+            if len(first):
+                out.append(mix(sum(codes[first + i] * factors[i] for i in range(n)) + U(n)))
+                of.append(doc[first])
+    if not out:
+        return np.zeros(0, U), np.zeros(len(n_words), np.int64)
+    shingles, of = np.concatenate(out), np.concatenate(of)
+    if len(out) > 1:
+        order = np.argsort(of, kind="stable")
+        shingles, of = shingles[order], of[order]
+    bounds = np.searchsorted(of, np.arange(len(n_words) + 1))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        shingles[a:b].sort()
+    kept = np.concatenate([[True], (shingles[1:] != shingles[:-1]) | (of[1:] != of[:-1])])
+    return shingles[kept], np.bincount(of[kept], minlength=len(n_words))
 
 
 def bucket_of(sigs: np.ndarray, buckets: int) -> np.ndarray:
     return (((sigs >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
 
 
-def shared(sigs: np.ndarray, owners: np.ndarray, few: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def shared(sigs: np.ndarray, owners: np.ndarray, few: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
     """Of one bucket's signatures: (owner, owner, tag, count) of the pairs that share signatures which at most few
-    owners have, and (signature, owner, tag) of all owners of the others."""
+    owners have, and (owner, first owner, tag, signature) of all owners of the others."""
     order = np.lexsort((owners, sigs))
     sigs, owners = sigs[order], owners[order]
     new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (owners[1:] != owners[:-1])])
@@ -159,22 +257,24 @@ def shared(sigs: np.ndarray, owners: np.ndarray, few: int) -> tuple[list[np.ndar
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (t[1:] != t[:-1])])) if len(a) else np.zeros(0, np.int64)
     counts = np.diff(np.append(first, len(a)))
     many = np.repeat(size > few, size)
-    return [a[first], b[first], t[first], counts], [sigs[many].view(np.int64), owners[many], (sigs[many] & U(TAG_MASK)).astype(np.int64)]
+    hubs = np.repeat(owners[start], size)[many]
+    return (a[first], b[first], t[first], counts), (owners[many], hubs, (sigs[many] & U(TAG_MASK)).astype(np.int64), sigs[many].view(np.int64))
 
 
-def forest(names: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join the names into the same groups as all links do: |A & B| * den >= |A | B| * num.
+def forest(flat: np.ndarray, sizes: np.ndarray, groups: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (places in the list) that join sets, side by side in flat, into the same groups as all links do: |A & B| * den >= |A | B| * num.
 
-    Every set is compared with all later ones that are not yet in its group."""
-    sizes = np.array([len(s) for s in sets])
+    groups are what is joined already. Every set is compared with all later ones that are not yet in its group."""
     order = np.argsort(sizes, kind="stable")
-    names, sets, sizes = names[order], [sets[i] for i in order], sizes[order]
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = starts_of(sizes)
+    flat = np.unique(flat, return_inverse=True)[1]
+    flat = np.concatenate([flat[starts[i] : starts[i] + sizes[i]] for i in order])
+    sizes = sizes[order]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(flat.max() + 1, np.int32)
-    group = np.arange(len(sets))
+    group = groups[order].copy()
     out = []
-    for i in range(len(sets)):
+    for i in range(len(sizes)):
         end = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))  # larger ones cannot reach it
         if end <= i + 1 or (group[i + 1 : end] == group[i]).all():
             continue
@@ -185,6 +285,6 @@ def forest(names: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> lis
         linked = both * den >= (sizes[i] + sizes[i + 1 : end] - both) * num
         for j in np.flatnonzero(linked & (group[i + 1 : end] != group[i])) + i + 1:
             if group[j] != group[i]:
-                out.append((int(names[i]), int(names[j])))
+                out.append((int(order[i]), int(order[j])))
                 group[group == group[j]] = group[i]
     return out

@@ -370,7 +370,7 @@ def test_jaccard_join(spark, docs, odd, empty):
 def test_partenum_loses_no_pair():
     import numpy as np
 
-    from kvtable.llm.partenum import Bands, signatures
+    from kvtable.llm.partenum import TAG_MASK, Bands, signatures
 
     rng = np.random.default_rng(1)
     bands = Bands(4, 5)
@@ -381,10 +381,45 @@ def test_partenum_loses_no_pair():
             b = np.unique(np.concatenate([a[rng.permutation(len(a))[out:]], rng.integers(0, 2**64, out, dtype=np.uint64)]))
             n = len(np.intersect1d(a, b))
             if 5 * n >= 4 * (len(a) + len(b) - n):
-                x, tags, least = signatures(a, bands)
-                y = signatures(b, bands)[0]
-                common = Counter((np.intersect1d(x, y) & np.uint64(1023)).tolist())
-                assert common and all(common[t] >= k for t, k in zip(tags, least, strict=True) if t in {int(s) & 1023 for s in y})
+                sigs, owner, of, tags, least = signatures(np.concatenate([a, b]), np.array([len(a), len(b)]), bands)
+                common = Counter((np.intersect1d(sigs[owner == 0], sigs[owner == 1]) & np.uint64(TAG_MASK)).tolist())
+                assert common and all(common[t] >= k for i, t, k in zip(of, tags, least, strict=True) if i == 0 and t in tags[of == 1])
+
+
+def test_shingles_do_not_depend_on_batches_or_slices(monkeypatch):
+    import numpy as np
+
+    from kvtable.llm import partenum
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["ab", "C", " ", "\t", "d\n", "é", "word"]) for _ in range(rng.randrange(40))).encode() for _ in range(300)] + [b"x" * 3000 + b" y z"]
+
+    def sets(group):
+        return partenum.shingle_sets(np.frombuffer(b"".join(group), np.uint8), np.cumsum([0, *map(len, group)]), 3)
+
+    single = [sets([t]) for t in texts]
+    for cut in (partenum.SLICE, 64):
+        monkeypatch.setattr(partenum, "SLICE", cut)
+        elements, sizes = sets(texts)
+        assert sizes.tolist() == [n.sum() for _, n in single] and (elements == np.concatenate([e for e, _ in single])).all()
+    words = [t.decode().translate(UPPER).split() for t in texts]
+    assert sizes.tolist() == [len({tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}) if w else 0 for w in words]
+
+
+def test_components(spark):
+    from kvtable.llm.components import components
+
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, 200 + i) for i in range(1, 30)]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "left long, right long")).collect()}
+    group = {x: x for e in edges for x in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b:
+            old, new = group[b], group[a]
+            group = {k: new if g == old else g for k, g in group.items()}
+    assert found.keys() == group.keys() and len(set(found.values())) == len(set(group.values()))
+    assert len({(found[x], g) for x, g in group.items()}) == len(set(found.values()))
+    assert components(spark.createDataFrame([], "left long, right long")).count() == 0
 
 
 # Lines
