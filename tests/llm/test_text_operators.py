@@ -260,6 +260,37 @@ def test_permutation(spark, n):
     assert sorted(r["p"] for r in df.collect()) == list(range(n))
 
 
+@pytest.mark.parametrize("n", [1, 2, 97, 10_007, 999_983, 10**9 + 7])
+def test_grid_has_few_spare_cells(n):
+    a, b = mixing.grid(n)
+    assert n <= a * b <= n + max(1, n**0.5 / 50) and a <= b <= 17 * a + 1
+
+
+def test_alias_table_draws_by_weight():
+    weights = [5, 0, 1, 100, 7, 7]
+    chance = [0.0] * len(weights)
+    for column, p, other in mixing.alias_table(weights):
+        chance[column] += p / len(weights)
+        chance[other] += (1 - p) / len(weights)
+    assert chance == pytest.approx([w / sum(weights) for w in weights])
+
+
+def test_shards_draw_their_sources(spark):
+    rows = [(i, " ".join(["w"] * 100), f"s{i % 3}") for i in range(600)]
+    made = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=4, shard_slots=100)
+    plan = {r["sid"]: r["slots"] for r in made.sources.collect()}
+    total, drawn = sum(plan.values()), defaultdict(Counter)
+    for r in made.slots.collect():
+        drawn[r["shard"]][r["sid"]] += 1
+    assert Counter({s: sum(c[s] for c in drawn.values()) for s in plan}) == Counter(plan)
+    early = [drawn[k] for k in range(total // 100 // 2)]  # far from where totals are made up for
+    for sid, n in plan.items():
+        p, counts = n / total, [c[sid] for c in early]
+        mean = sum(counts) / len(counts)
+        spread = sum((x - mean) ** 2 for x in counts) / len(counts)
+        assert abs(mean - 100 * p) < 3 and 0.6 < spread / (100 * p * (1 - p)) < 1.6  # as a multinomial draw has it
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100], 1.5, 2, [3, 1, 2]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
     assert mixing.targets([0, 0], 1.5, 2, [3, 1]) == [0.0, 0.0]
@@ -307,7 +338,9 @@ def test_mixing_gives_the_mix(docs, odd, empty):
             blocks[r["sid"], r["block"]] = max(longest, words, key=len)
         slots = {(s["sid"], s["slot"]): (s["shard"], s["block"]) for s in made.slots.collect()}
         assert {(r["sid"], r["slot"]): (r["shard"], r["block"]) for r in rows} == slots and len(rows) == len(slots)
-        assert set(shards) <= set(range(max(1, len(rows) // 64))) and (len(rows) < 1000 or max(shards.values()) < 2 * len(rows) / len(shards))
+        assert max(shards.values()) <= 64 and sum(n == 64 for n in shards.values()) > len(rows) // 64 * 0.6
+        spans = Counter((x["shard"], x["sid"], x["slot"], x["block"], x["left"], x["start"], x["n"]) for x in made.spans.collect())
+        assert spans == Counter((r["shard"], r["sid"], r["slot"], r["block"], p["left"], p["start"], len(p["text"].split(" "))) for r in rows for p in r["pieces"])
         assert Counter(s["sid"] for s in made.slots.collect()) == Counter({i: p["slots"] for i, p in plan.items() if p["slots"]})
         for sid, p in plan.items():
             assert sum(len(r["text"].split(" ")) for r in by_source[sid]) == p["words"]
