@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 #: Patterns of what may be personal data; each find is validated before it is replaced.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: All repeats are bounded or possessive, so that no text makes a pattern try a run again and again.
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}"
 #: Marks and spaces that may stand between the words of one find, as in lists and tables.
 BETWEEN = r"[^\w(=:+]{0,5}"
 SECRET_NAME = r"(?i:(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)" + BETWEEN + r"[=:])"
 SECRET = (
-    SECRET_NAME + r"(?i:" + BETWEEN + r"[A-Za-z0-9_+/-]{16,}[\"']?)"
+    SECRET_NAME + r"(?i:" + BETWEEN + r"[A-Za-z0-9_+/-]{16,}+[\"']?+)"
     r"|\"[0-9A-Fa-f]{32,64}\""
 )
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -29,6 +32,10 @@ PATTERN = "|".join([EMAIL, SECRET, IBAN, DATE, IP, SSN, PLAIN_CARD, GROUPED_CARD
 #: What every find has: a digit, an @, 32 letters in quotes or the name of a secret. The single characters are tried first, as most texts with finds have them.
 ANY_FIND = r"[0-9@]"
 NO_DIGIT_FIND = SECRET_NAME + r"|\"[A-Fa-f]{32}"
+#: Country calling codes have one digit (1, 7), two (those listed) or else three.
+COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: Setting that holds the key of the registered query.
+KEY_SETTING = "spark.kvtable.pseudonym.key"
 #: Days from 1900-01-01 to 2099-12-31; 17 x 4297.
 DAYS = 73_049
 
@@ -180,12 +187,12 @@ def pseudonym(m: Column, key: str) -> Column:
     iban = once(iban, lambda x: spaced(m, x))
 
     local = F.substring_index(m, "@", 1)
-    email = F.concat(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(local), F.lower(F.substring_index(m, "@", -1))), 256), 1, 12), F.lit("@mail.invalid"))
+    email = F.concat(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(local), F.lower(F.substring_index(m, "@", -1))), 256), 1, 32), F.lit("@mail.invalid"))
     value = F.regexp_extract(m, f"(?:[=:]{BETWEEN}|^\")([A-Za-z0-9_+/-]{{16,}})[\"']?$", 1)
     hashed = F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"secret{i}"), value), 256) for i in range(4)))
     secret = F.replace(m, value, F.substr(hashed, F.lit(1), F.least(F.length(value), F.lit(256))))
 
-    kept = F.regexp_extract(m, r"^(\+\d{1,3})" + BETWEEN + r"\(", 1)
+    kept = F.regexp_extract(m, f"^({COUNTRY})", 1)
     own = F.substr(digits, F.greatest(F.length(kept), F.lit(1)))
     phone = F.concat(kept, refill(F.substr(m, F.length(kept) + 1), permuted_digits(own, key, "phone")))
 
@@ -202,19 +209,22 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "change this key") -> DataFrame:
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, key: str) -> DataFrame:
     """One row per row of docs: doc_id, text (with pseudonyms), found: array of (kind, original, text).
 
     Card numbers (13 to 19 digits that pass the Luhn check), IBANs (mod 97), social security
     numbers, IPv4 addresses, phone numbers and dates (1900 to 2099) are permuted by a keyed Feistel
-    network within their own format: the result is again valid, and separators stay where they are. One key maps
-    equal values to equal pseudonyms and different values to different ones, in every document.
-    E-mail addresses and secrets (token = "...") have no number format; they become keyed hashes.
-    What fails its validation stays as it is.
+    network within their own format: the result passes the same validation, separators stay where they
+    are, and so do the country codes of phone numbers and IBANs. One key maps equal values to equal pseudonyms
+    and different values to different ones, in every document; only its holder can compute them.
+    E-mail addresses and secrets (token = "...") have no number format; they become keyed hashes of 128 bits and more.
+    What fails its validation stays as it is. An address has at most 64 characters before the @ and
+    9 labels of at most 63 after it.
 
     Only built-in functions over the scan; no shuffle. Texts without a digit, an @ or the name of a
-    secret are passed on unread by the patterns. Null text stays null; repeated rows each give a row; texts of any length
-    are read whole; other columns are ignored.
+    secret are passed on unread by the patterns. Null text stays null, and null and empty texts have no finds; repeated rows
+    each give a row; texts of any length are read whole, in time that grows with their length; an empty table gives an
+    empty result; other columns are ignored.
     """
     none = F.array().cast("array<struct<kind:string,original:string,text:string>>")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -231,6 +241,15 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key in KEY_SETTING. Where it is unset, a random one for this session: its pseudonyms are linked, but with no other session's."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pseudonymise(table(spark, sf_dir, "documents"))
+    done = pseudonymise(table(spark, sf_dir, "documents"), key=session_key(spark))
     return done.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds"))
