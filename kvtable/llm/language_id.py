@@ -21,14 +21,14 @@ from pyspark.sql import types as T
 from .common import is_training, materialize, table
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Pieces of more characters than this are left out of the vocabulary.
-LONGEST = 8
-#: Runs of letters are scored in parts of this length, so that probabilities stay above the smallest double.
-PART = 40
+#: Words of more letters than this are scored with logarithms, as their probabilities may fall below the smallest double.
+SHORT = 40
 #: Probability of a single character that is no piece, in every language.
 UNKNOWN = 1e-7
-#: Words whose scores a Python worker keeps before it starts afresh; bounds its memory.
-KEPT_WORDS = 200_000
+#: Words, and characters of words, whose scores a Python worker keeps before it starts afresh; bounds its memory.
+KEPT_WORDS, KEPT_CHARACTERS = 100_000, 2_000_000
+#: Numbers in one of the tables for a group of long words (or a single word, if that is longer).
+LONG_CELLS = 1 << 18
 START = "▁"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -45,15 +45,12 @@ def read_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p for p in plain if len(p) <= LONGEST and (p == START or p.strip(START).isalpha())})
+    return sorted({p for p in plain if p == START or p.strip(START).isalpha()})
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, cut into parts of at most PART characters."""
-    words = WORD.findall(text.lower())
-    if words and max(map(len, words)) > PART:
-        words = [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
-    return words
+    """Lower-cased runs of letters, whole."""
+    return WORD.findall(text.lower())
 
 
 class Segmenter:
@@ -61,8 +58,9 @@ class Segmenter:
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         self.tables = []
-        for k in range(1, LONGEST + 1):
+        for k in range(1, self.longest + 1):
             own = [(self.hashes(np.array([[ord(c) for c in p]], np.uint64), k)[0, 0], i) for i, p in enumerate(pieces) if len(p) == k]
             own.sort()
             self.tables.append((np.array([h for h, _ in own], np.uint64), np.array([i for _, i in own], np.int64)))
@@ -77,23 +75,41 @@ class Segmenter:
             out ^= out >> np.uint64(29)
         return out
 
+    def found(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For k = 1, 2, ... the piece of k characters at each position of each word."""
+        out = []
+        for k in range(1, min(self.longest, codes.shape[1]) + 1):
+            keys, ids = self.tables[k - 1]
+            h = self.hashes(codes, k)
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                piece = np.where(keys[place] == h, ids[place], self.n + 1)
+            else:
+                piece = np.full(h.shape, self.n + 1)
+            out.append(np.where(piece > self.n, self.n, piece) if k == 1 else piece)
+        return out
+
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For words of equal length: their places in the list, and for k = 1, 2, ... the piece at each position."""
+        """Of the words up to SHORT letters, those of equal length: their places in the list, and their pieces."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        for length in np.unique(lengths):
+        for length in np.unique(lengths[lengths <= SHORT]):
             at = np.flatnonzero(lengths == length)
             codes = np.array([START + words[i] for i in at]).view(np.uint32).reshape(len(at), length + 1).astype(np.uint64)
-            found = []
-            for k in range(1, min(LONGEST, length + 1) + 1):
-                keys, ids = self.tables[k - 1]
-                h = self.hashes(codes, k)
-                if len(keys):
-                    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    piece = np.where(keys[place] == h, ids[place], self.n + 1)
-                else:
-                    piece = np.full(h.shape, self.n + 1)
-                found.append(np.where(piece > self.n, self.n, piece) if k == 1 else piece)
-            yield at, found
+            yield at, self.found(codes)
+
+    def long_groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Of the longer words, those of about equal length, filled up with 0 (which is in no piece): places, lengths with the start mark, pieces."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        long = np.flatnonzero(lengths > SHORT)
+        long = long[np.argsort(lengths[long], kind="stable")]
+        while len(long):
+            width = int(lengths[long[0]] * 1.25) + 1
+            n = min(int(np.searchsorted(lengths[long], width, "right")), max(1, LONG_CELLS // width))
+            at, long = long[:n], long[n:]
+            codes = np.zeros((n, int(lengths[at].max()) + 1), np.uint64)
+            for row, i in enumerate(at):
+                codes[row, : lengths[i] + 1] = np.frombuffer((START + words[i]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            yield at, lengths[at] + 1, self.found(codes)
 
     def forward(self, found: list[np.ndarray], p: np.ndarray) -> np.ndarray:
         """Probability of each word's first j characters, summed over segmentations: position, word, language."""
@@ -105,10 +121,27 @@ class Segmenter:
                 alpha[j] += alpha[j - k] * p[found[k - 1][:, j - k]]
         return alpha
 
+    def forward_logs(self, found: list[np.ndarray], logs: np.ndarray) -> np.ndarray:
+        """The logarithms of the same probabilities, for words of any length."""
+        words, width = found[0].shape
+        alpha = np.full((width + 1, words, logs.shape[1]), -np.inf)
+        alpha[0] = 0
+        for j in range(1, width + 1):
+            for k in range(1, min(j, len(found)) + 1):
+                piece = found[k - 1][:, j - k]
+                if k == 1 or (piece <= self.n).any():
+                    alpha[j] = np.logaddexp(alpha[j], alpha[j - k] + logs[piece])
+        return alpha
+
     def scores(self, words: list[str], p: np.ndarray) -> np.ndarray:
+        """The logarithm of each word's probability in each language."""
         out = np.zeros((len(words), p.shape[1]))
         for at, found in self.groups(words):
             out[at] = np.log(self.forward(found, p)[-1])
+        with np.errstate(divide="ignore"):
+            logs = np.log(p)
+        for at, ends, found in self.long_groups(words):
+            out[at] = self.forward_logs(found, logs)[ends, np.arange(len(at))]
         return out
 
     def expected(self, words: list[str], weights: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -126,6 +159,23 @@ class Segmenter:
                     beta[j] += step
                     for lang in range(p.shape[1]):
                         out[:, lang] += np.bincount(piece, alpha[j, :, lang] * step[:, lang], self.n + 2)
+        with np.errstate(divide="ignore"):
+            logs, log_weights = np.log(p), np.log(weights)
+        for at, ends, found in self.long_groups(words):
+            alpha = self.forward_logs(found, logs)
+            width = found[0].shape[1]
+            beta = np.full_like(alpha, -np.inf)
+            rows = np.arange(len(at))
+            beta[ends, rows] = log_weights[at] - alpha[ends, rows]
+            for j in range(width - 1, -1, -1):
+                for k in range(1, min(width - j, len(found)) + 1):
+                    piece = found[k - 1][:, j]
+                    if k > 1 and not (piece <= self.n).any():
+                        continue
+                    step = logs[piece] + beta[j + k]
+                    beta[j] = np.logaddexp(beta[j], step)
+                    for lang in range(p.shape[1]):
+                        out[:, lang] += np.bincount(piece, np.exp(alpha[j, :, lang] + step[:, lang]), self.n + 2)
         return out
 
 
@@ -214,10 +264,12 @@ class _Ids(dict):
 
     def __init__(self):
         self.new: list[str] = []
+        self.characters = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.new.append(word)
+        self.characters += len(word)
         return n
 
 
@@ -226,8 +278,8 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
     lang_pred is the language under which the whole text is likeliest (ties: the first by name);
     score is its share among the languages' probabilities. Null text, text without a letter, and
-    any text under a model that learned no language give 'und' and 0. Texts of any length are read
-    whole; repeated rows each give a row.
+    any text under a model that learned no language give 'und' and 0. Texts and words of any length are read
+    whole; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
     """
     keep = keep or []
     source = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("__text"))
@@ -237,8 +289,9 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     def score_texts(texts: list[str | None], ids: _Ids, known: list[np.ndarray]) -> tuple[list[str], list[float]]:
         words = [words_of(t) if t else [] for t in texts]
         letters = [any(map(str.isalpha, w)) or any(c.isalpha() for x in w for c in x) for w in words]
-        if len(ids) > KEPT_WORDS:
+        if len(ids) > KEPT_WORDS or ids.characters > KEPT_CHARACTERS:
             ids.clear()
+            ids.characters = 0
             known.clear()
         flat = [ids[w] for ws in words for w in ws]
         if ids.new:

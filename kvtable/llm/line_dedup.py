@@ -128,12 +128,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text stays null and is never a copy; empty text stays empty. Lines are what '\\n' separates;
     chunks compare by bytes. Rows that repeat an id and a text are the same document, so both keep
-    what one keeps. Null ids come first. Very long texts are cut like any other. Extra columns are
-    kept inside row, whatever their names.
+    what one keeps. Null ids come first. Very long texts are cut like any other; an empty table gives an empty result. Extra
+    columns are kept inside row, whatever their names.
     """
     chunker = (Passages if passages else Chunker)(long_words, few_words)
     text = F.col(text_col).cast("string")
-    base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key1"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("key2"), text.cast("binary").alias("text"))
+    base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key1"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("key2"))
+    text_of_row = F.col("row")[text_col].cast("string").cast("binary").alias("text")
     keys = ["key1", "key2"]
 
     def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +146,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     found += [_hash(b"\n".join(lines[c[0] : c[1]])) for c in chunker.units(lines)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["hash"])
 
-    hashes = base.select("text").mapInArrow(count_chunks, "hash long")
+    hashes = base.select(text_of_row).mapInArrow(count_chunks, "hash long")
     again = hashes.groupBy("hash").count().filter("count > 1").select(F.pmod("hash", F.lit(BUCKETS)).cast("int").alias("bucket")).distinct()
     bits = np.zeros(BUCKETS, bool)
     bits[[r["bucket"] for r in again.collect()]] = True  # at most BUCKETS rows
     packed = np.packbits(bits)
 
-    narrow = base.select("doc_id", *keys, "text")
+    narrow = base.select("doc_id", *keys, text_of_row)
     schema = T.StructType([*narrow.schema.fields[:-1], T.StructField("at", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("chunk", T.BinaryType())])
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +184,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed = removed.groupBy(*keys).agg(F.collect_set(F.struct("at", "end")).alias("gone"))
     removed = removed.select(*keys, F.col("gone.at").alias("at"), F.col("gone.end").alias("end"))
 
-    joined = base.join(removed, keys, "left").select("row", "doc_id", "at", "end", "text")
+    joined = base.join(removed, keys, "left").select("row", "doc_id", "at", "end", text_of_row)
     out = T.StructType([*joined.schema.fields[:2], T.StructField("text", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("n_chunks", "n_removed", "words_removed"))])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

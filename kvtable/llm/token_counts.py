@@ -3,14 +3,18 @@
 For byte-pair encoding, the tokens of a word's prefix of length j end in the one token t for which
 the encoding of the prefix of length j - len(t) followed by t is itself an encoding; that holds
 exactly when its last token and t, put together, encode to those two. So one left-to-right pass
-gives the last token, and with it the exact token count, of every prefix. Counts of a text's
-prefixes follow by adding up the words before; nothing is encoded twice.
+gives the last token, and with it the exact token count, of every prefix of a word. A text's store
+holds these tables by word and the counts up to each word's end, and answers every question about
+the text's prefixes by looking them up; nothing is encoded again.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -24,8 +28,8 @@ from .common import table
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside the blocks on whose classes all Unicode versions from 12 on agree.
 UNSETTLED = regex.compile("[^\\u0000-\\u0557\\u0590-\\u088e\\u0d00-\\u17ff\\u1e00-\\u208e\\u20a0-\\u2bff\\u3000-\\u9fef\\uac00-\\ud7a3\\U0001f300-\\U0001f6ff]")
-#: Words whose tables a Python worker keeps before it starts afresh; bounds its memory.
-KEPT_WORDS = 200_000
+#: Bytes of words and their tables, and pairs of tokens, that a Python worker keeps before it starts afresh; bounds its memory.
+KEPT_BYTES, KEPT_PAIRS = 24 << 20, 200_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -35,17 +39,90 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-class _Totals(dict):
-    """Token counts by word; a missing word is computed on first use."""
+class _Tables(dict):
+    """Tables by word: the token count of each prefix, by bytes. A missing word's is computed on first use."""
 
     def __init__(self, counter: PrefixCounter):
-        self.counter = counter
+        self.counter, self.bytes = counter, 0
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
+    def __missing__(self, word: str) -> array:
+        if self.bytes > KEPT_BYTES:
             self.clear()
-        self[word] = n = self.counter.word_counts(word.encode("utf-8", "surrogatepass"))[-1]
-        return n
+            self.bytes = 0
+        self[word] = table = array("I", self.counter.word_counts(word.encode("utf-8", "surrogatepass")))
+        self.bytes += 200 + 5 * len(table)
+        return table
+
+
+class Prefixes:
+    """The store of one text: its parts (words and special strings), and the exact token count up to the end of each.
+
+    Between two ends the count is that of the word's own prefix, but where a cut changes how the
+    text falls into words: within a run of white space, a contraction or a special string."""
+
+    def __init__(self, counter: PrefixCounter, text: str):
+        self.counter, self.text = counter, text
+        self.parts: list[str] = []
+        self.special: set[int] = set()
+        at = 0
+        for m in counter.specials.finditer(text) if counter.specials is not None else ():
+            self.parts += counter.split(text[at : m.start()])
+            self.special.add(len(self.parts))
+            self.parts.append(m[0])
+            at = m.end()
+        self.parts += counter.split(text[at:] if at else text)
+        table = counter.tables.__getitem__
+        if self.special:
+            counts = [1 if i in self.special else table(w)[-1] for i, w in enumerate(self.parts)]
+        else:
+            counts = [t[-1] for t in map(table, self.parts)]
+        #: Tokens before each part, and of the whole text.
+        self.before = list(accumulate(counts, initial=0))
+
+    @property
+    def total(self) -> int:
+        return self.before[-1]
+
+    def inside(self, i: int) -> list[int]:
+        """Token counts of the text's prefixes that end after each character of part i."""
+        part, base = self.parts[i], self.before[i]
+        tables, split = self.counter.tables, self.counter.split
+        if i in self.special:
+            # A cut special string is ordinary text; only the three words before it can fall otherwise then.
+            first = max([0, i - 3, *(j + 1 for j in range(max(0, i - 3), i) if j in self.special)])
+            head = "".join(self.parts[first:i])
+            cut = [self.before[first] + sum(tables[w][-1] for w in split(head + part[:n])) for n in range(1, len(part))]
+            return [*cut, base + 1]
+        table, out, at = tables[part], [], 0
+        for c in part:
+            at += len(c.encode("utf-8", "surrogatepass"))
+            out.append(base + table[at - 1])
+        if i and i - 1 not in self.special and self.parts[i - 1].isspace() and part[0].isspace():
+            # Cut here, the whole run of white space is one word.
+            out[0] = self.before[i - 1] + tables[self.parts[i - 1] + part[0]][-1]
+        if part in ("'re", "'ve", "'ll"):
+            # Cut here, the apostrophe and the letter are two words.
+            out[1] = base + tables[part[0]][-1] + tables[part[1]][-1]
+        if i + 1 == len(self.parts) or i + 1 in self.special or not part.isspace():
+            out[-1] = self.before[i + 1]
+        return out
+
+    def counts(self) -> list[int]:
+        """Exact token counts of text[:0], text[:1], ... text, each as if the prefix were the whole text."""
+        return [0, *(n for i in range(len(self.parts)) for n in self.inside(i))]
+
+    def fitting(self, budget: int) -> int:
+        """Characters of the longest prefix that has at most budget tokens."""
+        if self.total <= budget:
+            return len(self.text)
+        ends = list(accumulate(map(len, self.parts), initial=0))
+        # A cut can change the count of the last words only, by less than a special string has bytes.
+        last = min(len(self.parts), bisect_right(self.before, budget + self.counter.slack))
+        for i in range(last - 1, -1, -1):
+            within = [n for n, count in enumerate(self.inside(i), 1) if count <= budget]
+            if within:
+                return ends[i] + within[-1]
+        return 0
 
 
 class PrefixCounter:
@@ -78,7 +155,8 @@ class PrefixCounter:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-        self.totals = _Totals(self)
+        self.slack = max(map(len, special), default=0) + 3
+        self.tables = _Tables(self)
         self.path = path
         self.library = None  # made on first use
 
@@ -127,7 +205,7 @@ class PrefixCounter:
                     pair = (last[start], token)
                     fits = pairs.get(pair)
                     if fits is None:
-                        if len(pairs) >= KEPT_WORDS:
+                        if len(pairs) >= KEPT_PAIRS:
                             pairs.clear()
                         fits = pairs[pair] = self.joins(*pair)
                     if not fits:
@@ -137,14 +215,6 @@ class PrefixCounter:
                 break
         return counts[1:]
 
-    def count(self, text: str) -> int:
-        """Token count of a whole text; special strings count one each."""
-        get = self.totals.__getitem__
-        if self.specials is not None and self.specials.search(text):
-            parts = self.specials.split(text)
-            return len(parts) - 1 + sum(sum(map(get, self.split(part))) for part in parts)
-        return sum(map(get, self.split(text)))
-
     def split(self, text: str) -> list[str]:
         """The words of a text. Letters that differ between Unicode versions go by the library's own tables."""
         if not UNSETTLED.search(text):
@@ -155,52 +225,16 @@ class PrefixCounter:
             self.library = Tokenizer.from_file(self.path).pre_tokenizer
         return [text[i:j] for _, (i, j) in self.library.pre_tokenize_str(text)]
 
+    def prefixes(self, text: str) -> Prefixes:
+        return Prefixes(self, text)
+
     def prefix_counts(self, text: str) -> list[int]:
         """Exact token counts of text[:0], text[:1], ... text, each as if the prefix were the whole text."""
-        counts = [0]
-        at = 0
-        ends = [(m.start(), m.end()) for m in self.specials.finditer(text)] if self.specials is not None else []
-        for start, end in [*ends, (len(text), len(text))]:
-            self._ordinary(text[at:start], counts)
-            if end > start:
-                base = counts[-1]
-                inside: list[int] = [base]
-                tail = text[at:start]
-                # A cut special string is ordinary text, and may join the word before it.
-                for n in range(1, end - start):
-                    inside.append(base - self.count(tail) + self.count(tail + text[start : start + n]))
-                counts.extend(inside[1:])
-                counts.append(base + 1)
-            at = end
-        return counts
-
-    def _ordinary(self, text: str, counts: list[int]) -> None:
-        before = None  # a run of white space that ends where the word starts, with the count before it
-        base = counts[-1]
-        for word in self.split(text):
-            table = self.word_counts(word.encode("utf-8", "surrogatepass"))
-            at = 0
-            inside = []
-            for c in word:
-                at += len(c.encode("utf-8", "surrogatepass"))
-                inside.append(base + table[at - 1])
-            if before is not None and word[0].isspace():
-                # Cut here, the whole run of white space is one word.
-                run, start = before
-                inside[0] = start + self.totals[run + word[0]]
-            if len(word) == 3 and word in ("'re", "'ve", "'ll"):
-                # Cut here, the apostrophe and the letter are two words.
-                inside[1] = base + self.totals[word[0]] + self.totals[word[1]]
-            counts.extend(inside)
-            before = (word, base) if word.isspace() else None
-            base += table[-1]
-        if len(text):
-            counts[-1] = base
+        return self.prefixes(text).counts()
 
     def fitting(self, text: str, budget: int) -> int:
         """Characters of the longest prefix of text that has at most budget tokens."""
-        counts = self.prefix_counts(text)
-        return max(i for i, n in enumerate(counts) if n <= budget)
+        return self.prefixes(text).fitting(budget)
 
 
 _loaded: dict[str, PrefixCounter] = {}
@@ -222,35 +256,34 @@ def default_tokenizer() -> str:
 def token_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, tokenizer: str | None = None, prefixes: bool = False
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
+    """One row per row of docs: doc_id, n_bytes, n_tokens, fit_chars, over_limit (n_tokens > limit).
 
-    With ``prefixes``, also fit_chars (characters of the longest prefix that has at most limit
-    tokens) and prefix_tokens (the exact token count of each prefix, from the empty one to the
-    whole text). A map over the scan, without a shuffle.
+    All comes from the text's prefix store: n_tokens is the count at its end, and fit_chars
+    the characters of the longest prefix that has at most limit tokens. With ``prefixes``, also
+    prefix_tokens (the exact token count of each prefix, from the empty one to the whole text). A
+    map over the scan, without a shuffle.
 
     Null text counts as empty: 0 bytes, 0 tokens. Texts of any length are counted whole. Repeated
-    rows each give a row, a null id stays null, other columns are ignored.
+    rows each give a row, a null id stays null, an empty table gives an empty result, other columns are ignored.
     """
     path = tokenizer or default_tokenizer()
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    schema = T.StructType([source.schema["doc_id"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([source.schema["doc_id"], *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_tokens", "fit_chars"))])
     if prefixes:
-        schema = schema.add("fit_chars", T.LongType()).add("prefix_tokens", T.ArrayType(T.IntegerType()))
+        schema = schema.add("prefix_tokens", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            if prefixes:
-                tables = [own.prefix_counts(t) for t in texts]
-                more = [
-                    pa.array([t[-1] for t in tables], pa.int64()),
-                    pa.array([max(i for i, n in enumerate(t) if n <= limit) for t in tables], pa.int64()),
-                    pa.array(tables, pa.list_(pa.int32())),
-                ]
-            else:
-                more = [pa.array(map(own.count, texts), pa.int64())]
+            totals, fits, lists = [], [], []
+            for text in batch.column("text"):
+                store = own.prefixes(text.as_py())
+                totals.append(store.total)
+                fits.append(store.fitting(limit))
+                if prefixes:
+                    lists.append(store.counts())
+            more = [pa.array(totals, pa.int64()), pa.array(fits, pa.int64())] + ([pa.array(lists, pa.list_(pa.int32()))] if prefixes else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *more], schema.fieldNames())
 
     return source.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -160,6 +160,17 @@ def test_every_prefix_is_exact(spark):
     assert row["prefix_tokens"][-1] == row["n_tokens"] == 6 and row["prefix_tokens"][row["fit_chars"]] == 3
 
 
+def test_fitting_is_the_longest_prefix():
+    own = counter = token_counts.counter(token_counts.default_tokenizer())
+    rng = random.Random(6)
+    parts = ["'", "re", " ", "  ", "\n", "the ", "1", "<|endoftext|>", "<|end", "é", "!", "'ll", "　", "words ", "\t"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        counts = own.prefix_counts(text)
+        for budget in (0, 1, 2, 5, len(counts)):
+            assert counter.fitting(text, budget) == max(i for i, n in enumerate(counts) if n <= budget), (text, budget)
+
+
 def test_words_split_as_in_the_library():
     own, split = token_counts.counter(token_counts.default_tokenizer()), library().pre_tokenizer.pre_tokenize_str
     for cp in [*range(0x3000), *range(0x3000, 0x110000, 37)]:
@@ -202,6 +213,44 @@ def test_forward_sums_all_segmentations():
         assert own.expected(["abab"], weights, p)[:, lang] == pytest.approx(counts / whole)
 
 
+def test_long_words_and_pieces_count_whole():
+    import math
+    from fractions import Fraction
+
+    import numpy as np
+
+    pieces = ["▁", "▁a", "a", "b", "ab", "abababababab"]
+    own = language_id.Segmenter(pieces)
+    p = np.zeros((len(pieces) + 2, 2))
+    p[: len(pieces)] = np.random.default_rng(0).random((len(pieces), 2)) / 20
+    p[len(pieces)] = language_id.UNKNOWN
+    words = ["ab" * 6, "ab" * 19, "ab" * 21, "ab" * 25 + "x", "b" * 300, "ab" * 700, "a" * 41]
+
+    def exact(word, lang):
+        """Forward and backward sums of exact fractions, the logarithm of the whole and the expected counts."""
+        text, n = "▁" + word, len(word) + 1
+        steps = [[(i, len(x)) for i, x in enumerate(pieces) if text.startswith(x, at)] or [(len(pieces), 1)] for at in range(n)]
+        steps = [s if any(k == 1 for _, k in s) else [*s, (len(pieces), 1)] for s in steps]
+        ahead, back = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)]
+        for at in range(n):
+            for i, k in steps[at]:
+                ahead[at + k] += ahead[at] * Fraction(p[i, lang])
+        for at in reversed(range(n)):
+            back[at] = sum(Fraction(p[i, lang]) * back[at + k] for i, k in steps[at])
+        counts = np.zeros(len(p))
+        for at in range(n):
+            for i, k in steps[at]:
+                counts[i] += float(ahead[at] * Fraction(p[i, lang]) * back[at + k] / ahead[n])
+        return math.log(ahead[n].numerator) - math.log(ahead[n].denominator), counts
+
+    expected = [[exact(w, g) for g in (0, 1)] for w in words if len(w) <= 300]
+    got = own.scores(words, p)
+    assert got[[len(w) <= 300 for w in words]] == pytest.approx(np.array([[e[0] for e in row] for row in expected]))
+    assert np.isfinite(got).all()
+    short = [w for w in words if len(w) <= 300]
+    assert own.expected(short, np.ones((len(short), 2)), p) == pytest.approx(sum(np.stack([row[0][1], row[1][1]], axis=1) for row in expected))
+
+
 def test_language_accuracy_on_held_out_documents(spark, docs):
     from compare import DATA
 
