@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(removed_at_exit(df.sparkSession, path))
 
 
+def bit_filter(values: DataFrame, bits: int) -> np.ndarray:
+    """Which numbers modulo ``bits`` (a multiple of 32) occur in the only column, as packed bits: at most bits / 32 rows pass through the driver."""
+    at = values.select(F.pmod(F.col(values.columns[0]), F.lit(bits)).alias("at"))
+    word, bit = F.floor(F.col("at") / 32), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(32)).cast("int"))
+    found = at.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    packed = np.zeros(bits // 32, np.uint32)
+    packed[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return packed
+
+
+def in_filter(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each number (as long) may be one that the filter has."""
+    at = np.mod(values.view(np.int64), len(packed) * 32)
+    return (packed[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) != 0
+
+
 def is_training(doc_id: Column) -> Column:
     """The fold that models may learn from: crc32 of the id as text, modulo 4, is not 2."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2

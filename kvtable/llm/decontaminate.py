@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import bit_filter, in_filter, materialize, table
+from .wordhash import PLAIN, chunks, coded, lists, longs, starts_of
 
-#: Turns every byte that separates words into a space and lower-cases A-Z.
-FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 KEY = ["key1", "key2"]
-
-
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split()
+#: Numbers that terms are folded into; bounds what is sent to the tasks (1 MB of bits).
+TERM_BUCKETS = 1 << 23
 
 
 def as_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,85 +24,87 @@ def as_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(1), text).alias("key2"), text.alias("text"))
 
 
-def windows_of(items: list[tuple], n: int) -> dict[tuple[bytes, ...], set]:
-    """The distinct windows of n words (of all words, where an item has fewer), and the items each occurs in."""
-    found: dict[tuple[bytes, ...], set] = {}
-    for item, text in items:
-        words = words_of((text or "").encode())
-        for start in range(max(1, len(words) - n + 1) if words else 0):
-            found.setdefault(tuple(words[start : start + n]), set()).add(item)
-    return found
+def windows_of(items: DataFrame, n: int) -> DataFrame:
+    """item, terms: the windows of n words (all words, where an item has fewer) of the items (item, text), as 64-bit hashes of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, data, offsets in chunks(batch.column("text")):
+                codes, doc = coded(data, offsets, PLAIN)
+                words = np.bincount(doc, minlength=end - at)
+                count = np.where(words, np.maximum(words - n + 1, 1), 0)  # windows of each item
+                of = np.repeat(np.arange(end - at), count)
+                first = starts_of(words)[of] + np.arange(len(of)) - starts_of(count)[of]
+                length = np.minimum(words, n)[of]
+                span = np.repeat(first - starts_of(length), length) + np.arange(length.sum())
+                yield pa.RecordBatch.from_arrays([batch.column("item").slice(at, end - at).take(pa.array(of)), lists(codes[span], length)], ["item", "terms"])
+
+    return items.mapInArrow(run, "item string, terms array<long>")
 
 
-def term_counts(texts: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
-    """How often each term occurs in the training texts. The aggregate has a row a term."""
+def term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: how often each of the terms (one row each) occurs in the texts. One row a term and chunk of texts is shuffled."""
+    packed = bit_filter(terms, TERM_BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                total += np.bincount(np.fromiter((terms.get(w, len(terms)) for w in words_of(text.as_py())), np.int64), minlength=len(terms) + 1)
-        at = np.flatnonzero(total[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["term", "n"])
+            for _, _, data, offsets in chunks(batch.column("text")):
+                codes = coded(data, offsets, PLAIN)[0]
+                found, n = np.unique(codes[in_filter(packed, codes)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([longs(found), longs(n)], ["term", "n"])
 
-    out = np.zeros(len(terms), np.int64)
-    found = texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out[found["term"]] = found["n"]
-    return out
+    counted = texts.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return terms.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def build_index(texts: DataFrame, terms: dict[bytes, int], anchors: set[int], window: int) -> DataFrame:
-    """The inverted index: postings of the anchor terms by document, each with the terms around it (-1: none of the benchmark's).
+def build_index(texts: DataFrame, terms: DataFrame, window: int) -> DataFrame:
+    """The inverted index: the postings of the terms by document, each with the words around it.
 
-    doc_id, key1, key2, n_words, postings: array of (term, pos, around), where around[window - 1] is the term itself."""
-    is_anchor = np.zeros(len(terms) + 1, bool)
-    is_anchor[list(anchors)] = True
-    posting = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("around", T.ArrayType(T.IntegerType()))])
+    doc_id, key1, key2, n_words, postings: array of (term, pos, around), where around[window - 1] is
+    the term itself and 0 stands before the first and after the last word. Terms that share a bit with one of
+    the wanted have postings too; they meet none when the index is joined."""
+    packed = bit_filter(terms, TERM_BUCKETS)
+    posting = T.StructType([T.StructField("term", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("around", T.ArrayType(T.LongType()))])
     schema = T.StructType([*texts.schema.fields[:-1], T.StructField("n_words", T.LongType()), T.StructField("postings", T.ArrayType(posting))])
-    pa_posting = pa.struct([("term", pa.int32()), ("pos", pa.int32()), ("around", pa.list_(pa.int32()))])
-    margin = np.full(window - 1, -1, np.int32)
-    span = np.arange(2 * window - 1)
+    reach = np.arange(1 - window, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths, counts, all_terms, all_at, all_around = [], [], [], [], []
-            for text in batch.column("text"):
-                words = words_of(text.as_py())
-                ids = np.fromiter((terms.get(w, -1) for w in words), np.int32, len(words))
-                at = np.flatnonzero(is_anchor[ids])
-                lengths.append(len(words))
-                counts.append(len(at))
-                if len(at):
-                    all_terms.append(ids[at])
-                    all_at.append(at.astype(np.int32))
-                    all_around.append(np.concatenate([margin, ids, margin])[at[:, None] + span].ravel())
-            join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            flat = join(all_around)
-            around = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(span), dtype=np.int32)), pa.array(flat, pa.int32()))
-            values = pa.StructArray.from_arrays([pa.array(join(all_terms), pa.int32()), pa.array(join(all_at), pa.int32()), around], fields=list(pa_posting))
-            postings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(lengths, pa.int64()), postings], schema.fieldNames())
+            for first, end, data, offsets in chunks(batch.column("text")):
+                codes, doc = coded(data, offsets, PLAIN)
+                words = np.bincount(doc, minlength=end - first)
+                at = np.flatnonzero(in_filter(packed, codes))
+                span = at[:, None] + reach
+                inside = np.clip(span, 0, max(0, len(codes) - 1))
+                around = np.where((span == inside) & (doc[inside] == doc[at][:, None]), codes[inside], np.uint64(0)) if len(at) else np.zeros((0, len(reach)), np.uint64)
+                pos = (at - starts_of(words)[doc[at]]).astype(np.int32)
+                fields = [longs(codes[at]), pa.array(pos), lists(around.ravel(), np.full(len(at), len(reach)))]
+                values = pa.StructArray.from_arrays(fields, ["term", "pos", "around"])
+                counts = np.bincount(doc[at], minlength=end - first)
+                postings = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), values)
+                kept = [batch.column(i).slice(first, end - first) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, longs(words), postings], schema.fieldNames())
 
     return texts.mapInArrow(run, schema)
 
 
-def matches(index: DataFrame, windows: list[tuple[list[int], list[str]]], rarest: list[list[int]], window: int, slop: int = 0) -> DataFrame:
-    """key1, key2, wid, start, exact: where a window's rarest terms stand at their offsets, give or take slop words.
+def matches(index: DataFrame, anchors: DataFrame, window: int, slop: int = 0) -> DataFrame:
+    """key1, key2, wid1, wid2, start, end, exact: where a window's anchors (term, offset, wid1, wid2, terms, needed) stand at their offsets, give or take slop words.
 
     Each posting of an anchor votes for the start it implies; a start that all of a window's anchors
-    vote for is a candidate, and the terms kept around the first anchor's posting verify the phrase."""
-    spark = index.sparkSession
-    rows = [(wid, ids[o], o, ids, len(own)) for wid, ((ids, _), own) in enumerate(zip(windows, rarest, strict=True)) for o in own]
-    anchors = spark.createDataFrame(rows, "wid int, term int, offset int, terms array<int>, needed int")
+    vote for is a candidate, and the words kept around the posting verify the phrase."""
     flat = index.filter(F.size("postings") > 0).select(*KEY, F.inline("postings"))
-    at = flat.join(F.broadcast(anchors), "term").withColumn("start", F.col("pos") - F.col("offset"))  # bounded: a block of the benchmark
+    at = flat.join(anchors, "term").withColumn("start", F.col("pos") - F.col("offset"))
     same = F.slice("around", F.lit(window) - F.col("offset"), F.size("terms")) == F.col("terms")
-    at = at.select(*KEY, "wid", "start", "offset", "needed", same.alias("same"))
+    columns = [*KEY, "wid1", "wid2", "offset", "needed"]
+    at = at.select(*columns, "start", F.size("terms").alias("n"), same.alias("same"))
     if slop:
-        off = F.explode(F.array(*map(F.lit, range(-slop, slop + 1)))).alias("off")
-        at = at.select("*", off).select(*KEY, "wid", (F.col("start") + F.col("off")).alias("start"), "offset", "needed", (F.col("same") & (F.col("off") == 0)).alias("same"))
-    found = at.groupBy(*KEY, "wid", "start").agg(F.size(F.collect_set("offset")).alias("n"), F.first("needed").alias("needed"), F.bool_or("same").alias("exact"))
-    return found.filter("n = needed").select(*KEY, "wid", "start", "exact")
+        at = at.select("*", F.explode(F.array(*map(F.lit, range(-slop, slop + 1)))).alias("off"))
+        at = at.select(*columns, (F.col("start") + F.col("off")).alias("start"), "n", (F.col("same") & (F.col("off") == 0)).alias("same"))
+    else:
+        at = at.filter("same")
+    found = at.groupBy(*KEY, "wid1", "wid2", "start").agg(F.size(F.collect_set("offset")).alias("votes"), F.first("needed").alias("needed"), F.first("n").alias("n"), F.bool_or("same").alias("exact"))
+    return found.filter("votes = needed").select(*KEY, "wid1", "wid2", "start", (F.col("start") + F.col("n")).alias("end"), "exact")
 
 
 def decontaminate(
@@ -117,64 +116,53 @@ def decontaminate(
     window: int = 13,
     anchors: int = 2,
     share: int = 20,
-    block_words: int = 200_000,
     slop: int = 0,
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, items (sorted ids), near_items, contaminated.
 
-    The benchmark is a stated query set: it is taken in blocks of about block_words words, so that
-    what one block broadcasts is bounded. For each block: count its terms over all documents, choose
-    every window's ``anchors`` rarest terms, store the postings of those terms, intersect the
-    offset-adjusted lists, and verify the phrase. n_hit counts document words inside any occurrence
-    of a window; a document is contaminated if n_hit > 0 and share * n_hit >= n_words. near_items
-    lists items with a window whose anchors all stand within slop words of their places (empty
-    unless slop is given).
-
-    Words are runs of 0-9, A-Z, a-z (lower-cased) and non-ASCII characters. An item of fewer words
-    than the window is one window; an item without words or with null text never occurs. An item
-    whose id is null makes hits but is not listed; items that share an id are listed once. Null
-    documents have no words. Equal texts are looked up once; repeated rows each give a row. An empty
-    benchmark leaves every document clean. Other columns are ignored.
+    Two scans of the texts, whatever the size of the benchmark:
+
+    1. The benchmark's windows and their terms are tables. The terms are counted over all documents, and every window's ``anchors`` rarest terms chosen.
+    2. The positional postings of these terms are stored once, and joined with the anchors of all
+       windows by term; the offset-adjusted lists of a window are intersected, and the phrase is verified.
+
+    n_hit counts document words inside any occurrence of a window; a document is contaminated if
+    n_hit > 0 and share * n_hit >= n_words. near_items lists items with a window whose anchors all
+    stand within slop words of their places (empty unless slop is given). Only bits of a fixed size pass through the driver.
+
+    Words are runs of 0-9, A-Z, a-z (lower-cased) and non-ASCII characters, and compare by 64-bit
+    hashes. An item of fewer words than the window is one window; an item without words or with
+    null text never occurs. An item whose id is null makes hits but is not listed; items that share an id are listed
+    once. Null documents have no words. Equal texts are looked up once; repeated rows each give a
+    row. Texts of any length are read whole. An empty benchmark leaves every document clean, an empty table gives an empty result.
+    Other columns are ignored.
     """
     texts = as_bytes(docs, id_col, text_col)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), " ")))).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
-    hits, lengths = None, None
-    for b in range(blocks):
-        own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]  # about block_words words
-        found = windows_of(own, window)
-        terms = {w: i for i, w in enumerate(sorted({w for ws in found for w in ws}))}
-        counts = term_counts(texts, terms) if terms else np.zeros(0, np.int64)
-        listed = [([terms[w] for w in ws], sorted(i for i in ids if i is not None)) for ws, ids in sorted(found.items())]
-        rarest = [sorted(range(len(ids)), key=lambda o, ids=ids: (counts[ids[o]], o))[:anchors] for ids, _ in listed]
-        wanted = {ids[o] for (ids, _), own_anchors in zip(listed, rarest, strict=True) for o in own_anchors}
-        index = materialize(build_index(texts, terms, wanted, window), "positional-index")
-        lengths = index.select("doc_id", *KEY, "n_words") if lengths is None else lengths
-        if not listed:
-            continue
-        by_window = docs.sparkSession.createDataFrame([(wid, len(ids), names) for wid, (ids, names) in enumerate(listed)], "wid int, n int, names array<string>")
-        block = matches(index, listed, rarest, window, slop).join(F.broadcast(by_window), "wid").drop("wid")
-        hits = block if hits is None else hits.unionByName(block)
-    if hits is None:
-        none = F.array().cast("array<string>")
-        return lengths.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("near_items"), F.lit(False).alias("contaminated"))
-
-    exact = F.col("exact")
-    spans = hits.groupBy(*KEY).agg(
-        F.array_sort(F.collect_set(F.when(exact, F.struct("start", (F.col("start") + F.col("n")).alias("end"))))).alias("spans"),
-        F.collect_set(F.when(exact, F.col("names"))).alias("items"),
-        F.collect_set(F.when(~exact, F.col("names"))).alias("near_items"),
-    )
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    listed = windows_of(items, window).withColumns({"wid1": F.xxhash64("terms"), "wid2": F.xxhash64(F.lit(1), "terms")})
+    listed = materialize(listed, "benchmark-windows")
+    windows = listed.select("wid1", "wid2", "terms").dropDuplicates(["wid1", "wid2"])
+    terms = materialize(windows.select(F.explode("terms").alias("term")).distinct(), "benchmark-terms")
+    counts = materialize(term_counts(texts, terms), "benchmark-term-counts")
+    ranked = windows.select("wid1", "wid2", "terms", F.posexplode("terms").alias("offset", "term")).join(counts, "term")
+    ranked = ranked.groupBy("wid1", "wid2").agg(F.first("terms").alias("terms"), F.slice(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))), 1, anchors).alias("own"))  # a window has few terms
+    chosen = ranked.select("wid1", "wid2", "terms", F.size("own").alias("needed"), F.inline("own")).select("wid1", "wid2", "terms", "needed", "offset", "term")
+    chosen = materialize(chosen, "benchmark-anchors")
+    index = materialize(build_index(texts, chosen.select("term"), window), "positional-index")
+    hits = materialize(matches(index, chosen, window, slop), "benchmark-matches")
+
+    spans = hits.filter("exact").groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate(
         "spans", zero, lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(x["start"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], x["end"]).alias("end"))
     )["n"]
-    names = lambda c: F.array_sort(F.array_distinct(F.flatten(c)))
-    spans = spans.select(*KEY, covered.alias("n_hit"), names("items").alias("items"), names("near_items").alias("near_items"))
-    spans = materialize(spans, "benchmark-hits")  # so the join's two sides are dealt for it alone
+    spans = spans.select(*KEY, covered.alias("n_hit"))
+    named = hits.select(*KEY, "wid1", "wid2", "exact").distinct().join(listed.filter("item IS NOT NULL").select("wid1", "wid2", "item").distinct(), ["wid1", "wid2"])
+    chosen_items = lambda of, name: F.array_sort(F.collect_set(F.when(of, F.col("item")))).alias(name)
+    named = named.groupBy(*KEY).agg(chosen_items(F.col("exact"), "items"), chosen_items(~F.col("exact"), "near_items"))
+    found = materialize(spans.join(named, KEY, "full"), "benchmark-hits")  # so the join's two sides are dealt for it alone
     none = F.array().cast("array<string>")
-    out = lengths.join(spans, KEY, "left").select(
+    out = index.select("doc_id", *KEY, "n_words").join(found, KEY, "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items")
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import bit_filter, in_filter, materialize, table
 from .components import components
 from .partenum import NAME, Bands, bucket_of, forest, names_of, shared, shingle_sets, signatures
+from .wordhash import chunks, lists, longs
 
 #: Signatures that one task of the signature shuffle gets.
 BUCKET_SIGNATURES = 1_000_000
@@ -23,8 +24,7 @@ BLOCK_SETS = 512
 BLOCK_ELEMENTS = 256_000
 #: Numbers that the ids of candidates are folded into; bounds what is sent to the tasks (1 MB of bits).
 ID_BUCKETS = 1 << 23
-#: Bytes of text that are shingled at a time (or one text, if that is longer), and signatures that are packed at a time.
-CHUNK_BYTES = 1 << 19
+#: Signatures that are packed at a time.
 CHUNK_SIGNATURES = 250_000
 
 
@@ -32,21 +32,6 @@ def _names(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
 
 
-def _longs(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64), pa.int64())
-
-
-def _chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Parts of a binary column of about CHUNK_BYTES: first row, row after the last, bytes of the column and offsets of the rows."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + CHUNK_BYTES, "right")) - 1)
-        yield at, end, data, offsets[at : end + 1]
-        at = end
-
-
 def _bytes_of(docs: DataFrame, text_col: str):
     return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
 
@@ -58,13 +43,13 @@ def named_rows(docs: DataFrame, id_col: str, text_col: str, length: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in _chunks(batch.column("text")):
+            for at, end, data, offsets in chunks(batch.column("text")):
                 elements, sizes = shingle_sets(data, offsets, length)
                 full = np.flatnonzero(sizes)
                 names = _names(names_of(elements, sizes[full])) if len(full) else pa.array([], pa.binary())
                 place = np.full(len(sizes), -1)
                 place[full] = np.arange(len(full))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), _longs(sizes), names.take(pa.array(place, mask=place < 0))], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, end - at), longs(sizes), names.take(pa.array(place, mask=place < 0))], schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
@@ -95,10 +80,10 @@ def signature_findings(docs: DataFrame, text_col: str, length: int, bands: Bands
             ends = np.append(cut[1:], len(at))
             first = np.append(run, len(key))
             pack = lambda x, i, j: pa.array([x[a:b].tobytes() for a, b in zip(i, j, strict=True)], pa.binary())
-            return pa.RecordBatch.from_arrays([_longs(at[cut]), pack(s, first[cut], first[ends]), pack(names[o], cut, ends), pack(lengths, cut, ends)], ["bucket", "sigs", "owners", "lengths"])
+            return pa.RecordBatch.from_arrays([longs(at[cut]), pack(s, first[cut], first[ends]), pack(names[o], cut, ends), pack(lengths, cut, ends)], ["bucket", "sigs", "owners", "lengths"])
 
         for batch in batches:
-            for _, _, data, offsets in _chunks(batch.column("text")):
+            for _, _, data, offsets in chunks(batch.column("text")):
                 elements, sizes = shingle_sets(data, offsets, length)
                 if not len(elements):
                     continue
@@ -122,7 +107,7 @@ def signature_findings(docs: DataFrame, text_col: str, length: int, bands: Bands
         kinds = pa.DictionaryArray.from_arrays(pa.array(np.repeat([0, 1], [len(a), len(owner)])), ["pair", "many"]).cast(pa.string())
         both = lambda x, y: np.concatenate([x, y])
         ones, none = np.ones(len(owner), np.int64), np.zeros(len(a), np.int64)
-        return pa.table({"kind": kinds, "a": _names(names[both(a, owner)]), "b": _names(names[both(b, hub)]), "tag": _longs(both(tag, its_tag)), "n": _longs(both(n, ones)), "sig": _longs(both(none, sig))})
+        return pa.table({"kind": kinds, "a": _names(names[both(a, owner)]), "b": _names(names[both(b, hub)]), "tag": longs(both(tag, its_tag)), "n": longs(both(n, ones)), "sig": longs(both(none, sig))})
 
     packed = source.mapInArrow(emit, "bucket long, sigs binary, owners binary, lengths binary")
     return packed.groupBy("bucket").applyInArrow(reduce, "kind string, a binary, b binary, tag long, n long, sig long")
@@ -132,27 +117,21 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: st
     """set_id, elements, tags, common, hub of the wanted sets (set_id, doc_id of one document that has it, hub).
 
     Texts are read again, but shingled only where the folded id is a wanted one."""
-    fold = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
-    words = wanted.select(fold(F.col("doc_id")).alias("at")).groupBy(F.floor(F.col("at") / 32).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(32)).cast("int"))).alias("bits"))
-    words = words.toPandas()  # at most ID_BUCKETS / 32 rows
-    packed = np.zeros(ID_BUCKETS // 32, np.uint32)
-    packed[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    source = docs.select(fold(F.col(id_col)).alias("fold"), _bytes_of(docs, text_col))
+    packed = bit_filter(wanted.select(F.xxhash64("doc_id")), ID_BUCKETS)
+    source = docs.select(F.xxhash64(F.col(id_col)).alias("fold"), _bytes_of(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("fold").to_numpy()
-            hit = np.flatnonzero((packed[at // 32] >> (at % 32).astype(np.uint32)) & 1)
-            for _, _, data, offsets in _chunks(batch.column("text").take(pa.array(hit))):
+            hit = np.flatnonzero(in_filter(packed, batch.column("fold").to_numpy()))
+            for _, _, data, offsets in chunks(batch.column("text").take(pa.array(hit))):
                 elements, sizes = shingle_sets(data, offsets, length)
                 if not len(elements):
                     continue
                 sizes = sizes[sizes > 0]
                 _, _, of, tags, common = signatures(elements, sizes, bands)
                 order = np.argsort(of, kind="stable")
-                listed = lambda values, n: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), _longs(values))
                 n_tags = np.bincount(of, minlength=len(sizes))
-                yield pa.RecordBatch.from_arrays([_names(names_of(elements, sizes)), listed(elements, sizes), listed(tags[order], n_tags), listed(common[order], n_tags)], ["set_id", "elements", "tags", "common"])
+                yield pa.RecordBatch.from_arrays([_names(names_of(elements, sizes)), lists(elements, sizes), lists(tags[order], n_tags), lists(common[order], n_tags)], ["set_id", "elements", "tags", "common"])
 
     found = source.mapInArrow(run, "set_id binary, elements array<long>, tags array<long>, common array<long>")
     return found.join(wanted.select("set_id", "hub"), "set_id").dropDuplicates(["set_id"])

@@ -20,29 +20,12 @@ from functools import cache
 
 import numpy as np
 
-U = np.uint64
-#: Turns bytes that separate words (space, U+0009 to U+000D) into spaces and lower-cases A-Z.
-FOLD = np.array([b + 32 if 0x41 <= b <= 0x5A else 0x20 if 0x09 <= b <= 0x0D else b for b in range(256)], np.uint8)
-#: Bytes that are turned into words at a time (or one word, if that is longer); bounds the memory of very long texts.
-SLICE = 1 << 20
+from .wordhash import SPACED, STEP, U, coded, mix, starts_of
+
 #: A set's 128-bit name, as two numbers.
 NAME = np.dtype([("high", "<u8"), ("low", "<u8")])
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambler of 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
-
-
-#: A random number for each byte (0 for the separator), and odd factors by place in a word and in a shingle.
-BYTE_CODES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-BYTE_CODES[0x20] = 0
-STEP = 0xD1342543DE82EF95
-
-
 class Bands:
     """Bands of set sizes for a similarity of num / den (4 / 5: 0.8)."""
 
@@ -82,10 +65,6 @@ TAG_MASK = (1 << TAG_BITS) - 1
 SUBSETS = ((1, 2), (0, 2), (0, 1))
 
 
-def starts_of(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-
-
 def _sealed(hashes: np.ndarray, tags: np.ndarray) -> np.ndarray:
     return (mix(hashes) & ~U(TAG_MASK)) | tags.astype(U)
 
@@ -164,47 +143,12 @@ def names_of(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _words(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word and the byte that it starts at, for texts that lie side by side (their first bytes: ends of the ones before)."""
-    hashes, at = [], []
-    begin = 0
-    while begin < len(text):
-        end = min(begin + SLICE, len(text))
-        if end < len(text):  # cut after the last separator; a longer word is taken whole
-            gap = np.flatnonzero(text[begin:end] == 0x20)
-            if len(gap):
-                end = begin + int(gap[-1]) + 1
-            else:
-                after = np.flatnonzero(text[end:] == 0x20)
-                end = end + int(after[0]) + 1 if len(after) else len(text)
-        part = text[begin:end]
-        inside = part != 0x20
-        new = inside.copy()
-        new[1:] &= ~inside[:-1]
-        border = ends[(ends >= begin) & (ends < end)] - begin
-        new[border] = inside[border]  # texts without a separator between them
-        starts = np.flatnonzero(new)
-        if len(starts):
-            lengths = np.diff(np.append(starts, len(part)))
-            place = np.arange(len(part) - starts[0]) - np.repeat(starts - starts[0], lengths)
-            with np.errstate(over="ignore"):
-                longest = int(place[inside[starts[0] :]].max()) + 1
-                powers = np.cumprod(np.concatenate([[U(1)], np.full(longest, STEP, U)]))
-                place[~inside[starts[0] :]] = 0
-                hashes.append(mix(np.add.reduceat(BYTE_CODES[part[starts[0] :]] * powers[place], starts - starts[0])))
-            at.append(starts + begin)
-        begin = end
-    return (np.concatenate(hashes), np.concatenate(at)) if hashes else (np.zeros(0, U), np.zeros(0, np.int64))
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The sets of word shingles of texts (bytes of text i: offsets[i] to offsets[i + 1]), side by side as ascending 64-bit hashes, and their sizes.
 
     A text of fewer words is one shingle; a text without words has an empty set."""
     offsets = np.asarray(offsets, np.int64)
-    text = FOLD[data[offsets[0] : offsets[-1]]]
-    codes, at = _words(text, offsets[1:-1] - offsets[0])
-    doc = np.searchsorted(offsets[1:] - offsets[0], at, "right")
+    codes, doc = coded(data, offsets, SPACED)
     n_words = np.bincount(doc, minlength=len(offsets) - 1)
     out, of = [], []
     with np.errstate(over="ignore"):
