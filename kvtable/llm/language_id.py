@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +27,11 @@ SHORT = 40
 #: Probability of a single character that is no piece, in every language.
 UNKNOWN = 1e-7
 #: Words, and characters of words, whose scores a Python worker keeps before it starts afresh; bounds its memory.
-KEPT_WORDS, KEPT_CHARACTERS = 100_000, 2_000_000
+KEPT_WORDS, KEPT_CHARACTERS = 50_000, 1_000_000
 #: Numbers in one of the tables for a group of long words (or a single word, if that is longer).
 LONG_CELLS = 1 << 18
+#: Text that is scored at a time (or one document, if that is longer).
+SCORED_BYTES = 500_000
 START = "▁"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -118,7 +121,12 @@ class Segmenter:
         alpha[0] = 1
         for j in range(1, width + 1):
             for k in range(1, min(j, len(found)) + 1):
-                alpha[j] += alpha[j - k] * p[found[k - 1][:, j - k]]
+                piece = found[k - 1][:, j - k]
+                hit = np.flatnonzero(piece <= self.n)
+                if len(hit) == words:
+                    alpha[j] += alpha[j - k] * p[piece]
+                elif len(hit):
+                    alpha[j, hit] += alpha[j - k, hit] * p[piece[hit]]
         return alpha
 
     def forward_logs(self, found: list[np.ndarray], logs: np.ndarray) -> np.ndarray:
@@ -282,8 +290,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     whole; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
     """
     keep = keep or []
-    source = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    whole = text_col in keep  # then the text travels once
+    source = docs.select(F.col(id_col).alias("doc_id"), *(F.col(c).cast("string").alias(c) if c == text_col else c for c in keep if c != "doc_id"), *([] if whole else [F.col(text_col).cast("string").alias("__text")]))
+    text_at = source.columns.index(text_col if whole else "__text")
+    kept = source.schema.fields if whole else source.schema.fields[:-1]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     pieces, languages, p = model.pieces, model.languages, model.p
 
     def score_texts(texts: list[str | None], ids: _Ids, known: list[np.ndarray]) -> tuple[list[str], list[float]]:
@@ -310,23 +321,22 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, known = _Ids(), []
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            column = batch.column(text_at)
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            ends = np.searchsorted(np.cumsum(sizes), np.arange(SCORED_BYTES, sizes.sum() + SCORED_BYTES, SCORED_BYTES)) + 1
             names: list[str] = []
             scores: list[float] = []
             at = 0
-            while at < len(texts):  # about 1 MB of text at a time
-                end, size = at, 0
-                while end < len(texts) and size < 1_000_000:
-                    size += len(texts[end] or "")
-                    end += 1
+            for end in np.unique(np.minimum(np.append(ends, len(column)), len(column))):  # about SCORED_BYTES of text at a time
+                texts = column.slice(at, end - at).to_pylist()
                 if languages:
-                    a, b = score_texts(texts[at:end], ids, known)
+                    a, b = score_texts(texts, ids, known)
                 else:
-                    a, b = ["und"] * (end - at), [0.0] * (end - at)
+                    a, b = ["und"] * len(texts), [0.0] * len(texts)
                 names += a
                 scores += b
                 at = end
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
