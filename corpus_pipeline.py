@@ -24,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null and empty texts and texts without a letter go. Repeated rows and null ids are kept or go by
     their text alone; where no row has a language to learn from, all go. Null languages are not learned from."""
     model = language_id.fit(docs.filter(is_training(F.col("doc_id"))))
-    scored = language_id.predict(docs.select(F.struct(*COLUMNS).alias("row"), "doc_id", "text"), model, keep=["row"])
-    return scored.filter("lang_pred != 'und' AND score > 0.5").select("row.*")
+    scored = language_id.predict(docs.select(*COLUMNS), model, keep=COLUMNS)
+    return scored.filter("lang_pred != 'und' AND score > 0.5").select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
