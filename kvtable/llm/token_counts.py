@@ -28,8 +28,8 @@ from .common import table
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters outside the blocks on whose classes all Unicode versions from 12 on agree.
 UNSETTLED = regex.compile("[^\\u0000-\\u0557\\u0590-\\u088e\\u0d00-\\u17ff\\u1e00-\\u208e\\u20a0-\\u2bff\\u3000-\\u9fef\\uac00-\\ud7a3\\U0001f300-\\U0001f6ff]")
-#: Bytes of words and their tables, and pairs of tokens, that a Python worker keeps before it starts afresh; bounds its memory.
-KEPT_BYTES, KEPT_PAIRS = 24 << 20, 200_000
+#: Bytes of words and their tables that a Python worker keeps, in two generations, and pairs of tokens; bounds its memory.
+KEPT_BYTES, KEPT_PAIRS = 128 << 20, 400_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -40,17 +40,24 @@ def byte_characters() -> dict[str, int]:
 
 
 class _Tables(dict):
-    """Tables by word: the token count of each prefix, by bytes. A missing word's is computed on first use."""
+    """Tables by word: the token count of each prefix, by bytes. A missing word's is computed on first use.
 
-    def __init__(self, counter: PrefixCounter):
-        self.counter, self.bytes = counter, 0
+    A full generation becomes the old one, from which words that come again are taken over."""
 
-    def __missing__(self, word: str) -> array:
-        if self.bytes > KEPT_BYTES:
+    def __init__(self, counter: PrefixCounter):
+        self.counter, self.bytes, self.old = counter, 0, {}
+
+    def __missing__(self, word: str) -> bytes | array:
+        table = self.old.get(word)
+        if table is None:
+            counts = self.counter.word_counts(word.encode("utf-8", "surrogatepass"))
+            table = bytes(counts) if counts[-1] < 256 and max(counts) < 256 else array("I", counts)
+        if self.bytes > KEPT_BYTES // 2:
+            self.old = dict(self)
             self.clear()
             self.bytes = 0
-        self[word] = table = array("I", self.counter.word_counts(word.encode("utf-8", "surrogatepass")))
-        self.bytes += 200 + 5 * len(table)
+        self[word] = table
+        self.bytes += 200 + len(word) + len(table) * (1 if isinstance(table, bytes) else 4)
         return table
 
 
@@ -151,7 +158,8 @@ class PrefixCounter:
                 self.left_edges[token] = self.right_edges[token] = [(token, self.never)]
         #: Only tokens that encode to themselves can be a last token.
         self.tokens = {t for t in self.left_edges if len(t) == 1 or self.joins(*made[t], own=True)}
-        self.beginnings = {t[:n] for t in self.tokens for n in range(1, len(t) + 1)}
+        #: Tokens (True) and other beginnings of tokens (False).
+        self.beginnings = {t[:n]: False for t in self.tokens for n in range(1, len(t))} | dict.fromkeys(self.tokens, True)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.words = regex.compile(WORDS)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
@@ -187,32 +195,28 @@ class PrefixCounter:
     def word_counts(self, word: bytes) -> list[int]:
         """Token counts of word[:1], word[:2], ... word."""
         n = len(word)
-        tokens, beginnings, pairs = self.tokens, self.beginnings, self.pairs
-        starts: list[list[int]] = [[] for _ in range(n + 1)]  # where tokens that end here begin, longest first
-        for start in range(n):
+        beginnings, pairs = self.beginnings.get, self.pairs
+        last: list[bytes | None] = [b""] + [None] * n
+        counts = [0] * (n + 1)
+        for start in range(n):  # what ends here is settled, as its tokens begin further left
+            left, count = last[start], counts[start] + 1
             for end in range(start + 1, n + 1):
                 token = word[start:end]
-                if token in tokens:
-                    starts[end].append(start)
-                elif token not in beginnings:
+                known = beginnings(token)
+                if known:
+                    if last[end] is None:
+                        fits = True
+                        if start:
+                            fits = pairs.get((left, token))
+                            if fits is None:
+                                if len(pairs) >= KEPT_PAIRS:
+                                    pairs.clear()
+                                fits = pairs[left, token] = self.joins(left, token)
+                        if fits:
+                            last[end] = token
+                            counts[end] = count
+                elif known is None:
                     break
-        last: list[bytes] = [b""]
-        counts = [0]
-        for end in range(1, n + 1):
-            for start in starts[end]:
-                token = word[start:end]
-                if start:
-                    pair = (last[start], token)
-                    fits = pairs.get(pair)
-                    if fits is None:
-                        if len(pairs) >= KEPT_PAIRS:
-                            pairs.clear()
-                        fits = pairs[pair] = self.joins(*pair)
-                    if not fits:
-                        continue
-                last.append(token)
-                counts.append(counts[start] + 1)
-                break
         return counts[1:]
 
     def split(self, text: str) -> list[str]:
