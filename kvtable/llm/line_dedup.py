@@ -184,13 +184,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed = removed.groupBy(*keys).agg(F.collect_set(F.struct("at", "end")).alias("gone"))
     removed = removed.select(*keys, F.col("gone.at").alias("at"), F.col("gone.end").alias("end"))
 
-    joined = base.join(removed, keys, "left").select("row", "doc_id", "at", "end", text_of_row)
+    place_in_row = docs.columns.index(text_col) if docs.schema[text_col].dataType == T.StringType() else None  # then the row has the text, which travels once
+    joined = base.join(removed, keys, "left").select("row", "doc_id", "at", "end", *([text_of_row] if place_in_row is None else []))
     out = T.StructType([*joined.schema.fields[:2], T.StructField("text", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("n_chunks", "n_removed", "words_removed"))])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_chunks, n_removed, words_removed = [], [], [], []
-            for value, at, end in zip(batch.column("text"), batch.column("at").to_pylist(), batch.column("end").to_pylist(), strict=True):
+            column = batch.column(4) if place_in_row is None else batch.column(0).field(place_in_row).cast(pa.binary())
+            for value, at, end in zip(column, batch.column("at").to_pylist(), batch.column("end").to_pylist(), strict=True):
                 raw = value.as_py()
                 lines = raw.split(b"\n") if raw else []
                 cut = chunker.cut(lines)

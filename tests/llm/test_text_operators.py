@@ -106,6 +106,30 @@ def test_quality_batches_do_not_change_scores():
     assert quality.scores(docs, model) == pytest.approx([quality.scores([d], model)[0] for d in docs], abs=1e-6)
 
 
+def test_quality_forward_against_single_chunks():
+    import numpy as np
+
+    model, rng = quality.initial(2), np.random.default_rng(3)
+    model["bias"] = rng.standard_normal(quality.FILTERS).astype(np.float32)
+    docs = [bytes(rng.integers(0, 255, n, dtype=np.uint8)) for n in (0, 3, 16, 17, 24, 400)]
+    found = quality.forward(docs, model)[3]
+    for text, pooled in zip(docs, found, strict=True):
+        whole = quality.padded(text)
+        chunks = [whole[s : s + quality.CHUNK] for s in range(0, len(whole) - quality.CHUNK + 1, quality.STRIDE)]
+        best = np.max([np.concatenate([model["embedding"][c] for c in chunk]) @ model["filters"] for chunk in chunks], axis=0)
+        assert pooled == pytest.approx(np.maximum(best + model["bias"], 0), abs=1e-4)
+
+
+def test_quality_on_held_out_documents(spark):
+    data = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    held = [(r["score"], labels[r["doc_id"]]) for r in quality.op2(spark, data).collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert len(good) > 30 and len(bad) > 10
+    area = sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
+    assert area > 0.75
+
+
 def test_quality_learns(spark):
     rng = random.Random(0)
     rows, labels = [], []
