@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op5_licenses": licenses.OP5_SQL,
     "op7_jaccard_join": jaccard_join.OP7_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
 }

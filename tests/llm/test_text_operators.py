@@ -309,6 +309,8 @@ def test_licenses(spark, docs, odd, empty):
             (102, "apache license of another version 2", None, None, 0),
             (103, "under the GNU General Public License, version 3.", None, None, 0),
             (104, "cc " * 50 + "by", None, None, 0),
+            (105, "license agreement and restriction of charge, all of general rights", None, None, 0),
+            (106, "charge, free of charge to any person: permission is hereby granted free of charge to any person obtaining a copy of this Software and", None, None, 0),
         ],
         DOCS,
     )
@@ -320,10 +322,30 @@ def test_licenses(spark, docs, odd, empty):
             expected.append((r["doc_id"], len(words), tuple(sorted((i, label) for phrase, label in licenses.BASE for i in spans(words, phrase)))))
         assert Counter(found) == Counter(expected)
     labels = {r["doc_id"]: {x["label"] for x in r["found"]} for r in licenses.scan(more).collect()}
-    assert labels == {100: {"cc-by", "reserved"}, 101: {"apache-2.0"}, 102: set(), 103: {"gpl", "gpl-3.0"}, 104: {"cc-by"}}
+    assert labels == {100: {"cc-by", "reserved"}, 101: {"apache-2.0"}, 102: set(), 103: {"gpl", "gpl-3.0"}, 104: {"cc-by"}, 105: set(), 106: {"mit"}}
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_templates_against_all_places(spark):
+    """Every template whole, and with words lost, changed and doubled, against a look at every place."""
+    rng = random.Random(5)
+    templates = licenses.listed(licenses.BASE, licenses.TEMPLATES, 0.6)
+    texts = [" ".join(words) for _, _, words, _, _ in templates]
+    for _, _, words, _, _ in templates * 3:
+        altered = [w for word in words for w in rng.choice([[word]] * 8 + [["other"], [], [word, word]])]
+        texts.append(" ".join(["the software"] * rng.randrange(3) + altered + rng.choice(templates)[2]))
+    found = {r["doc_id"]: sorted((x["start"], x["label"], x["is_base"], x["score"]) for x in r["found"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        own, expected = text.split(), []
+        for label, is_base, words, key, need in templates:
+            for start in range(-len(words), len(own)):
+                there = [0 <= start + j < len(own) and own[start + j] == w for j, w in enumerate(words)]
+                if all(there[k] for k in key) and sum(there) >= need:
+                    expected.append((start, label, is_base, sum(there) / len(words)))
+        assert found[i] == sorted(expected)
+        assert i >= len(templates) or (0, *templates[i][:2], 1.0) in found[i]
+
+
 # Mixing
 
 
